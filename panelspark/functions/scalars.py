@@ -111,6 +111,13 @@ def apply_min_hours(mean: Column, hours: Column, min_hours: int) -> Column:
     return F.when(hours >= F.lit(max(min_hours, 1)), mean)
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation over rows that hold both, null where either does not vary."""
+    x, y = as_col(x), as_col(y)
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def null_safe(left: DataFrame, key: Sequence[str], right: DataFrame) -> Column:
     """Equality of the key with the columns ``_k0, _k1, ..`` of ``right`` that also matches nulls."""
     return functools.reduce(operator.and_, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(key)])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import as_col, clamp
+from panelspark.functions.scalars import as_col, clamp, pearson
 from panelspark.operators.ordering import exact_quantiles, ordered_index
 from panelspark.session import materialise
 
@@ -59,7 +59,7 @@ def metrics(
         F.when(spread == 0, 0.0).otherwise(1 - F.try_divide(F.avg(error * error), spread)).alias("r2"),
         (F.avg(F.abs(error / base)) * 100).alias("mape_pct"),
         (F.avg(F.abs(error) * 2 / both) * 100).alias("smape_pct"),
-        F.when((spread == 0) | (F.var_pop(y_hat) == 0), 0.0).otherwise(F.corr(y, y_hat)).alias("pearson_r"),
+        F.coalesce(pearson(y, y_hat), F.lit(0.0)).alias("pearson_r"),
     )
 
 

@@ -42,7 +42,7 @@ def interpolate_forward(df: DataFrame, entity: str, date: str, limits: dict[str,
     for c in cols:
         last, nxt = F.col(f"_last_{c}"), F.col(f"_next_{c}")
         step = F.col("_rn") - last["at"]
-        slope = (nxt["v"] - last["v"]) / (nxt["at"] - last["at"])
+        slope = F.try_divide(nxt["v"] - last["v"], nxt["at"] - last["at"])
         line = F.when(nxt.isNull(), last["v"]).otherwise(last["v"] + slope * step)
         filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(step <= limits[c], line)
     return around.withColumns(filled).select(*df.columns)

@@ -89,21 +89,25 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     return out
 
 
-def before_rank(df: DataFrame, date: str, tie: str, rank: int) -> Column:
+def day_counts(df: DataFrame, date: str) -> list[tuple]:
+    """(day, rows) in order: as many as the calendar has days."""
+    return [tuple(row) for row in df.groupBy(date).count().orderBy(date).collect()]
+
+
+def before_rank(df: DataFrame, date: str, tie: str, days: list[tuple], rank: int) -> Column:
     """Condition that holds for exactly the first ``rank`` rows in (date, tie) order.
 
-    The counts per day are bounded by the calendar; only the rows of the day in which the cut falls are
-    ordered, and those by a distributed index. (date, tie) must be unique.
+    ``days`` are the ``day_counts``. Only the rows of the day in which the cut falls are ordered, and those by
+    a distributed index. (date, tie) must be unique.
     """
     if rank <= 0:
         return F.lit(False)
-    days = df.groupBy(date).count().orderBy(date).collect()  # one row per day
     seen = 0
-    for row in days:
-        if seen + row["count"] > rank:
-            cut_day, left = row[date], rank - seen
+    for day, count in days:
+        if seen + count > rank:
+            cut_day, left = day, rank - seen
             break
-        seen += row["count"]
+        seen += count
     else:
         return F.lit(True)
     if left == 0:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import numeric_columns
-from panelspark.functions.scalars import valid_count
+from panelspark.functions.scalars import pearson, valid_count
 from panelspark.operators.ordering import exact_quantiles
 from panelspark.operators.windows import checked_days, series
 
@@ -122,7 +122,7 @@ def corr_with_target(df: DataFrame, target: str) -> DataFrame:
     cols = numeric_columns(rows, exclude=[target])
     found = rows.agg(
         *[F.struct(
-            F.corr(c, target).alias("r"), F.bool_and(F.coalesce(F.col(c) == 0, F.lit(False))).alias("zero")
+            pearson(c, target).alias("r"), F.bool_and(F.coalesce(F.col(c) == 0, F.lit(False))).alias("zero")
         ).alias(c) for c in cols]
     )
     long = found.unpivot([], cols, "column", "_x")
@@ -153,7 +153,7 @@ def completeness(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """Rows present as a percentage of entities times days in the closed range."""
     days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
     counts = df.agg(F.count("*").alias("n_rows"), F.count_distinct(entity).alias("n_entities"))
-    share = F.col("n_rows") / (F.col("n_entities") * F.col("n_days")) * 100
+    share = F.try_divide(F.col("n_rows") * F.lit(100.0), F.col("n_entities") * F.col("n_days"))
     return counts.withColumn("n_days", days).withColumn("completeness_pct", share)
 
 
@@ -174,7 +174,7 @@ def lag_autocorr(daily: DataFrame, key: str, date: str, value: str, lags: int =
     """Pearson correlation of each series with itself 1 to ``lags`` rows earlier, over rows that hold both."""
     w = series(key, date)
     shifted = checked_days(daily, key, date).withColumns({f"_l{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)})
-    wide = shifted.groupBy(key).agg(*[F.corr(value, f"_l{k}").alias(str(k)) for k in range(1, lags + 1)])
+    wide = shifted.groupBy(key).agg(*[pearson(value, f"_l{k}").alias(str(k)) for k in range(1, lags + 1)])
     long = wide.unpivot([key], [str(k) for k in range(1, lags + 1)], "lag", "correlation")
     return long.withColumn("lag", F.col("lag").cast("int"))
 
@@ -186,7 +186,7 @@ def acf(daily: DataFrame, key: str, date: str, value: str, nlags: int = 20) -> D
     centred = present.withColumn("_c", F.col(value) - F.avg(value).over(W.partitionBy(key)))
     products = centred.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(nlags + 1)})
     wide = products.groupBy(key).agg(
-        F.count("*").alias("_n"), *[(F.sum(f"_p{k}") / F.sum("_p0")).alias(str(k)) for k in range(nlags + 1)]
+        F.count("*").alias("_n"), *[F.try_divide(F.sum(f"_p{k}"), F.sum("_p0")).alias(str(k)) for k in range(nlags + 1)]
     )
     long = wide.unpivot([key, "_n"], [str(k) for k in range(nlags + 1)], "lag", "acf")
     return long.withColumn("lag", F.col("lag").cast("int")).where(F.col("lag") < F.col("_n")).drop("_n")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import as_col, cyclic_doy
-from panelspark.operators.ordering import before_rank
+from panelspark.functions.scalars import cyclic_doy
+from panelspark.operators.ordering import before_rank, day_counts
 
 
 def series(entity: str, date: str):
@@ -123,16 +123,13 @@ def time_split(df: DataFrame, date: str, tie: str, frac: float = 0.8, valid_frac
 
     The cut is found from counts per day, so the rows themselves are only filtered, never sorted or moved.
     """
-    total = df.count()
-    n_train = int(total * frac)
-    split = F.when(before_rank(df, date, tie, n_train), F.lit("train")).otherwise(F.lit("test"))
+    days = day_counts(df, date)
+    n_train = int(sum(count for _, count in days) * frac)
+    in_train = before_rank(df, date, tie, days, n_train)
     if valid_frac:
         n_fit = n_train - max(int(valid_frac * n_train), 1)
-        split = F.when(before_rank(df, date, tie, n_fit), F.lit("fit")).when(
-            before_rank(df, date, tie, n_train), F.lit("valid")
-        ).otherwise(F.lit("test"))
-    return df.withColumn("split", split)
-
-
-def with_value(df: DataFrame, name: str, value: Column | str) -> DataFrame:
-    return df.withColumn(name, as_col(value))
+        in_fit = before_rank(df, date, tie, days, n_fit)
+        train = F.when(in_fit, F.lit("fit")).when(in_train, F.lit("valid"))
+    else:
+        train = F.when(in_train, F.lit("train"))
+    return df.withColumn("split", train.otherwise(F.lit("test")))

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.names import drop_matching, normalise_headers, rename_roles, reorder, station_column
+from panelspark.functions.names import normalise_headers, rename_roles, reorder, station_column
 from panelspark.operators.aggregates import HOURS, numeric_mean_by, region_day, station_day
 from panelspark.operators.clean import clean_weather, drop_null_rows, null_sentinels, prune_panel
-from panelspark.operators.dedupe import assert_unique, drop_full_duplicates, first_per_key, merge_key_duplicates
+from panelspark.operators.dedupe import drop_full_duplicates, first_per_key, merge_key_duplicates
 from panelspark.operators.geo import nearest_site, station_coordinates
 from panelspark.operators.impute import ffill, fill_zero, interpolate_forward
 from panelspark.operators.joins import (
@@ -76,9 +76,11 @@ def region_day_pm(hourly: DataFrame, lookup: DataFrame, min_hours: int = 0) -> D
     return region_day(daily, "Date", "region", "station_id", "pm25_daily_avg", PM)
 
 
-def region_day_weather(raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0) -> DataFrame:
+def region_day_weather(
+    raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0, order: Sequence[str] = ()
+) -> DataFrame:
     """Raw daily weather to the mean of every numeric column per region and day."""
-    clean = clean_weather(raw)
+    clean = clean_weather(raw, order)
     points = station_coordinates(clean, "latitude_y", "longitude_x", station_column(clean))
     nearest = nearest_site(points.withColumnRenamed("weather_station_id", "point_id"), sites, threshold_km)
     return numeric_mean_by(attach_region_by_site(clean, nearest), ["region", "date"])
