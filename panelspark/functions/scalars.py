@@ -18,8 +18,7 @@ def as_col(value: Column | str) -> Column:
 
 def to_number(value: Column | str) -> Column:
     """Number, or null for anything that is not one (NaN included)."""
-    number = as_col(value).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(as_col(value).try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_day(value: Column | str) -> Column:

@@ -102,5 +102,9 @@ def tail_by_date(series: DataFrame, date: str, n: int = 30) -> DataFrame:
     return series.orderBy(F.desc(date)).limit(n).orderBy(date)
 
 
+def sort_panel(df: DataFrame, entity: str, date: str) -> DataFrame:
+    return df.orderBy(entity, date)
+
+
 def rank_by(df: DataFrame, col: str, absolute: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.desc(F.abs(col)) if absolute else F.desc(col), *tie)

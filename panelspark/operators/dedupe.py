@@ -67,48 +67,57 @@ def split_by_conflict(df: DataFrame, key: Sequence[str], value_cols: Sequence[st
 
 
 def merge_key_duplicates(
-    df: DataFrame, key: Sequence[str], value_cols: Sequence[str], order: Sequence[Column | str] = ()
+    df: DataFrame, key: Sequence[str], value_cols: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key: per value column the mean of its distinct values.
 
     The other columns come from the row with most values, the earliest in ``order`` among equals; where a key is in
     conflict their nulls are filled from its further rows.
 
+    Rows alone on their key, the bulk of a feed, only meet the (narrow) list of repeated keys and are not
+    shuffled while that list is small. ``df`` is read more than once: hand in a stored table.
+    """
+    names = {f"_k{i}": F.col(k) for i, k in enumerate(key)}
+    repeated = df.groupBy(*[c.alias(n) for n, c in names.items()]).count().where("count > 1").drop("count")
+    solo = df.join(repeated, null_safe(df, key, repeated), "left_anti")
+    several = df.join(repeated, null_safe(df, key, repeated), "left_semi")
+    return solo.unionByName(_merge_repeated(several, key, value_cols, order))
+
+
+def _merge_repeated(df: DataFrame, key: Sequence[str], value_cols: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Merge rows of repeated keys.
+
     Smallest, largest and count per column settle every cell with at most two distinct values in one
     combinable aggregate. Only the keys with a cell of three or more values are read again, as
     (key, column, value) rows whose distinct values spread over the cluster.
     """
     others = [c for c in df.columns if c not in key and c not in value_cols]
-    rank = F.struct((-valid_count(value_cols)).alias("_v"), *order, *others)
+    rows = df.withColumn("_blank", -valid_count(value_cols))
+    rank = F.struct("_blank", *order, *[c for c in others if c not in order])
     aggs = []
     for i, c in enumerate(value_cols):
         aggs += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
-    if others:
-        aggs.append(F.min_by(F.struct(*others), rank).alias("_best"))
-        aggs += [
-            F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_fill{i}") for i, c in enumerate(others)
-        ]
+    aggs.append(F.min(rank).alias("_best"))
+    aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_fill{i}") for i, c in enumerate(others)]
     spots = range(len(value_cols))
-    differs = F.coalesce(_any([F.col(f"_lo{i}") < F.col(f"_hi{i}") for i in spots]), F.lit(False))
-    many = F.coalesce(
-        _any([(F.col(f"_lo{i}") < F.col(f"_hi{i}")) & (F.col(f"_n{i}") > 2) for i in spots]), F.lit(False)
-    )
-    merged = df.groupBy(*key).agg(*aggs).withColumns({"_conflict": differs, "_many": many})
-
-    crowded = merged.where("_many").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
-    raw = df.join(crowded, null_safe(df, key, crowded), "left_semi")
-    cells = (
-        raw.select(*key, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_cell"), F.col(c).cast("double").alias("_value"))
-            for i, c in enumerate(value_cols)
-        ])).alias("_x"))
-        .select(*key, "_x.*").where("_value is not null")
+    differs = [F.col(f"_lo{i}") < F.col(f"_hi{i}") for i in spots]
+    crowded = [differs[i] & (F.col(f"_n{i}") > 2) for i in spots]
+    merged = rows.groupBy(*key).agg(*aggs).withColumns({
+        "_conflict": F.exists(F.array(*differs), lambda d: d), "_many": F.exists(F.array(*crowded), lambda d: d),
+    })
+
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    many = merged.where("_many").select(*names)
+    cell = [F.struct(F.lit(i).alias("_cell"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(value_cols)]
+    means = (
+        df.join(many, null_safe(df, key, many), "left_semi")
+        .select(*key, F.explode(F.array(*cell)).alias("_x")).select(*key, "_x.*").where("_value is not null")
         .distinct()
         .groupBy(*key, "_cell").agg(F.avg("_value").alias("_mean"))
-        .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+        .groupBy(*names)
         .agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_mean"))).alias("_means"))  # one entry per column
     )
-    joined = merged.join(cells, null_safe(merged, key, cells), "left")
+    joined = merged.join(means, null_safe(merged, key, means), "left")
     columns = []
     for c in df.columns:
         if c in key:
@@ -123,8 +132,7 @@ def merge_key_duplicates(
             )
             columns.append(value.alias(c))
         else:
-            best = F.col("_best")[c]
-            fill = F.col(f"_fill{others.index(c)}")
+            best, fill = F.col("_best")[c], F.col(f"_fill{others.index(c)}")
             columns.append(F.when(F.col("_conflict"), F.coalesce(best, fill)).otherwise(best).alias(c))
     return joined.select(*columns)
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import haversine_km, synthetic_id, to_number
 from panelspark.operators.dedupe import first_per_key
-from panelspark.session import materialise
+from panelspark.session import materialise, spread
 
 MAX_TILES = 4096  # bounds the tile boxes that every task holds
-TILE_SITES = 512  # sites per tile while there are fewer than MAX_TILES tiles
+TILE_SITES = 32  # sites per tile while there are fewer than MAX_TILES tiles
 _BITS = 31  # resolution of the Z-order code per axis, about a centimetre
 
 
@@ -113,7 +113,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, threshold_km: float = 75.0
     order. Of sites equally near, to within a micrometre, the first in source order wins.
     """
     places = points.where("point_id is not null and lat is not null and lon is not null")
-    spots = places.select("lat", "lon").distinct()
+    spots = spread(places.select("lat", "lon").distinct(), "lat", "lon")
     usable = sites.where("region is not null and lat is not null and lon is not null")
     row = F.struct("ord", "site_id", "region")
     unique = usable.groupBy("lat", "lon").agg(F.min_by(row, "ord").alias("_s")).select("_s.*", "lat", "lon")
@@ -139,9 +139,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, threshold_km: float = 75.0
             ),
         )
     )
-    best = with_sites.select("lat", "lon", nearest_in_tile.alias("_b"))
-    if len(boxes) > 1:
-        best = best.groupBy("lat", "lon").agg(F.min("_b").alias("_b"))
+    best = with_sites.groupBy("lat", "lon").agg(F.min(nearest_in_tile).alias("_b"))
     within = F.col("_b")["km"] <= threshold_km
     return places.join(best, ["lat", "lon"]).select(
         "point_id", "lat", "lon",

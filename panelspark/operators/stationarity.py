@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.moments import as_matrix, moment_rows
 from panelspark.operators.windows import checked_days, series
+from panelspark.session import spread
 
 # MacKinnon's response surface for the p-value with a constant and one variable.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -81,6 +82,6 @@ def adf_test(daily: DataFrame, key: str, date: str, value: str, max_lag: int | N
         })
 
     key_type = daily.schema[key].dataType.simpleString()
-    return sums.groupBy(key).applyInPandas(  # (max_lag + 1) x (max_lag + 3) rows of moments per series
+    return spread(sums, key).groupBy(key).applyInPandas(  # (max_lag + 1) x (max_lag + 3) rows of moments per series
         test, f"`{key}` {key_type}, adf_statistic double, p_value double, used_lag int, n_obs long"
     )

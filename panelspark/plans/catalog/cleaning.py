@@ -176,7 +176,7 @@ def string_math_functions(spark, sf_dir):
         clamp(balance, 0.0, 5000.0).alias("clamped"), F.sqrt(F.abs(balance)).alias("root"),
         log1p_target(balance).alias("logged"), inverse_target(log1p_target(balance)).alias("restored"),
     )
-    return rounded(rounded(out, "root", "logged"), "restored", digits=4)
+    return rounded(rounded(out, "root", "logged", digits=6), "restored", digits=4)
 
 
 @query("drop_full_duplicates", "SELECT DISTINCT md5(text) AS text_md5, lang FROM documents")
@@ -229,7 +229,7 @@ def merge_key_duplicates_query(spark, sf_dir):
     )
     clean = null_sentinels(rows, ["l_quantity"], [9])
     merged = merge_key_duplicates(clean, ["l_suppkey", "date"], ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"])
-    return rounded(merged, "l_quantity", "l_discount")
+    return rounded(merged, "l_quantity", "l_discount", digits=6)
 
 
 CONFLICTS = """conflicts AS (

@@ -52,7 +52,7 @@ def rolling(spark, sf_dir):
         daily_types(spark, sf_dir).select("user_id", "date", "click", "view"), "user_id", "date",
         {"click": [3, 7, 14], "view": [3]},
     ).drop("click", "view")
-    return rounded(out, *[c for c in out.columns if "_roll_" in c])
+    return rounded(out, *[c for c in out.columns if "_roll_" in c], digits=6)
 
 
 @query("diffs", f"""
@@ -61,7 +61,7 @@ WITH {DAILY} SELECT user_id, date, ROUND(value - LAG(value, 1) OVER w, 6) AS val
 """)
 def diffs(spark, sf_dir):
     out = add_diffs(add_lags(daily(spark, sf_dir), "user_id", "date", {"value": [1, 7]}), "value", [1, 7])
-    return rounded(out.select("user_id", "date", "value_diff_1", "value_diff_7"), "value_diff_1", "value_diff_7")
+    return rounded(out.select("user_id", "date", "value_diff_1", "value_diff_7"), "value_diff_1", "value_diff_7", digits=6)
 
 
 @query("calendar_encoding", """
@@ -71,7 +71,7 @@ SELECT o_orderkey, dayofyear(o_orderdate)::INT AS day_of_year,
 """)
 def calendar_encoding(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    return rounded(add_calendar(rows, "date").drop("date"), "sin_doy", "cos_doy")
+    return rounded(add_calendar(rows, "date").drop("date"), "sin_doy", "cos_doy", digits=6)
 
 
 @query("panel_features", f"""
@@ -88,7 +88,7 @@ def panel_features_query(spark, sf_dir):
         daily(spark, sf_dir).select("user_id", "date", "value"), "user_id", "date",
         {"value": [1, 2, 3, 7]}, {"value": [3, 7]}, {"value": [1]},
     ).dropna()
-    return rounded(out, *[c for c in out.columns if "_roll_" in c or "doy" in c or "diff" in c])
+    return rounded(out, *[c for c in out.columns if "_roll_" in c or "doy" in c or "diff" in c], digits=6)
 
 
 AROUND = f"""
@@ -112,7 +112,7 @@ SELECT user_id, date, ROUND(CASE WHEN value IS NOT NULL THEN value WHEN rn - rn0
   CASE WHEN rn1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (rn1 - rn0) * (rn - rn0) END END, 6) AS value FROM a
 """)
 def interpolate_forward_query(spark, sf_dir):
-    return rounded(interpolate_forward(spine(spark, sf_dir), "user_id", "date", {"value": 2}), "value")
+    return rounded(interpolate_forward(spine(spark, sf_dir), "user_id", "date", {"value": 2}), "value", digits=6)
 
 
 @query("ffill_limit", AROUND + "SELECT user_id, date, CASE WHEN rn - rn0 <= 2 THEN v0 END AS value FROM a")
@@ -144,7 +144,7 @@ SELECT user_id, episode_id, MIN(date) AS start_date, MAX(date) AS end_date, COUN
 """)
 def event_episodes_query(spark, sf_dir):
     marked = event_days(daily(spark, sf_dir), "value", "n_hours", 25.0, 2)
-    return rounded(event_episodes(marked, "user_id", "date", "value"), "mean_value")
+    return rounded(event_episodes(marked, "user_id", "date", "value"), "mean_value", digits=6)
 
 
 SEQ_LEN = 14

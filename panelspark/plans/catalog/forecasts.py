@@ -10,6 +10,7 @@ from panelspark.operators.forecast import (
     weighted_l1,
 )
 from panelspark.operators.lasso import coefficient_table, fit_lasso_by, model_metrics, score_linear
+from panelspark.operators.ordering import ordered_index
 from panelspark.operators.windows import next_label, panel_features
 from panelspark.plans.catalog.features import SEQ_LEN, user_sequences
 from panelspark.plans.catalog.profiles import nation_series
@@ -30,7 +31,7 @@ SELECT user_id, date, ROUND((value - m) / sd, 6) AS value, ROUND((n_hours - hm)
 def standardize(spark, sf_dir):
     rows = daily(spark, sf_dir).withColumn("flat", F.lit(3.0))
     stats = fit_scaler(rows.where(F.col("date") <= F.lit(CUT).cast("date")), ["value", "n_hours", "flat"])
-    return rounded(apply_scaler(rows, stats, ["value", "n_hours", "flat"]), "value", "n_hours", "flat")
+    return rounded(apply_scaler(rows, stats, ["value", "n_hours", "flat"]), "value", "n_hours", "flat", digits=6)
 
 
 PERSISTENCE = f"""
@@ -53,7 +54,7 @@ METRICS = """COUNT(*) AS n, ROUND(AVG(abs(y - y_hat)), 6) AS mae, ROUND(sqrt(AVG
 
 
 def rounded_metrics(df):
-    return rounded(rounded(df, "mae", "rmse", "pearson_r"), "r2", "mape_pct", "smape_pct", digits=5)
+    return rounded(rounded(df, "mae", "rmse", "pearson_r", digits=6), "r2", "mape_pct", "smape_pct", digits=5)
 
 
 @query("metrics", f"{PERSISTENCE} SELECT {METRICS} FROM p")
@@ -75,9 +76,8 @@ def metrics_ranked(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     write_metrics(metrics_by_region(spark, sf_dir), path)
     stored = spark.read.schema("region long, r2 double, mae double").json(path)
-    ranked = rank_by(stored, "r2", tie=["region"]).collect()  # one row per region
-    rows = [(r["region"], r["r2"], r["mae"], i) for i, r in enumerate(ranked, 1)]
-    return spark.createDataFrame(rows, "region long, r2 double, mae double, rank long")
+    ranked = ordered_index(stored, F.desc("r2"), "region", name="rank")
+    return rank_by(ranked.withColumn("rank", F.col("rank") + 1), "r2", tie=["region"])
 
 
 BASELINES = f"""
@@ -94,7 +94,7 @@ SELECT user_id, end_date, y, persistence, ROUND(window_mean, 6) AS window_mean F
 """)
 def baselines_query(spark, sf_dir):
     out = baselines(user_sequences(spark, sf_dir), "x", 0).drop("x")
-    return rounded(out, "window_mean")
+    return rounded(out, "window_mean", digits=6)
 
 
 @query("baseline_scores", BASELINES + f"""
@@ -110,7 +110,7 @@ def baseline_scores(spark, sf_dir):
 
 @query("l1_loss", f"{PERSISTENCE} SELECT ROUND(AVG(abs(y - y_hat)), 6) AS l1 FROM p")
 def l1_query(spark, sf_dir):
-    return rounded(l1_loss(persistence(spark, sf_dir), "y", "y_hat"), "l1")
+    return rounded(l1_loss(persistence(spark, sf_dir), "y", "y_hat"), "l1", digits=6)
 
 
 @query("huber", f"""
@@ -119,7 +119,7 @@ SELECT ROUND(AVG(CASE WHEN e < 0.5 THEN e * e / (2 * 0.5) ELSE e - 0.5 / 2 END),
 """)
 def huber(spark, sf_dir):
     rows = persistence(spark, sf_dir).select(F.log1p("y").alias("y"), F.log1p("y_hat").alias("y_hat"))
-    return rounded(huber_loss(rows, "y", "y_hat", beta=0.5), "huber")
+    return rounded(huber_loss(rows, "y", "y_hat", beta=0.5), "huber", digits=6)
 
 
 @query("weighted_l1", f"""
@@ -129,7 +129,7 @@ SELECT ROUND(AVG(abs(y - y_hat) * least(greatest(1.0 + 2.0 * y / p90, 1.0), 5.0)
 def weighted_l1_query(spark, sf_dir):
     rows = persistence(spark, sf_dir)
     train = rows.where(F.col("date") <= F.lit(CUT).cast("date"))
-    return rounded(weighted_l1(rows, train, "y", "y_hat", alpha=2.0), "weighted_l1")
+    return rounded(weighted_l1(rows, train, "y", "y_hat", alpha=2.0), "weighted_l1", digits=6)
 
 
 @query("category_index", f"""

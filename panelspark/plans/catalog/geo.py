@@ -36,7 +36,7 @@ def nearest_suppliers(spark, sf_dir):
 
 @query("nearest_site", f"WITH {NEAREST_SQL} SELECT * FROM nearest")
 def nearest_site_query(spark, sf_dir):
-    return rounded(nearest_suppliers(spark, sf_dir), "distance_km")
+    return rounded(nearest_suppliers(spark, sf_dir), "distance_km", digits=6)
 
 
 @query("nearest_site_totals", f"""
@@ -60,7 +60,7 @@ WITH {NEAREST_SQL} SELECT point_id, assigned_region, distance_km, within_thresho
 ORDER BY distance_km DESC, point_id LIMIT 10
 """)
 def farthest_10(spark, sf_dir):
-    return farthest(rounded(nearest_suppliers(spark, sf_dir), "distance_km"))
+    return farthest(rounded(nearest_suppliers(spark, sf_dir), "distance_km", digits=6))
 
 
 @query("nearest_site_summary", f"""
@@ -71,8 +71,8 @@ SELECT COUNT(*) AS n, ROUND(AVG(distance_km), 6) AS mean, ROUND(STDDEV_SAMP(dist
        ROUND(quantile_cont(distance_km, 0.99), 6) AS p99, MAX(distance_km) AS max FROM nearest
 """)
 def nearest_site_summary(spark, sf_dir):
-    nearest = rounded(nearest_suppliers(spark, sf_dir), "distance_km")
-    return rounded(distribution_summary(nearest, "distance_km"), "mean", "std", "p50", "p90", "p95", "p99")
+    nearest = rounded(nearest_suppliers(spark, sf_dir), "distance_km", digits=6)
+    return rounded(distribution_summary(nearest, "distance_km"), "mean", "std", "p50", "p90", "p95", "p99", digits=6)
 
 
 @query("haversine", """
@@ -85,7 +85,7 @@ FROM customer
 def haversine(spark, sf_dir):
     points = customer_points(spark, sf_dir)
     km = haversine_km("lat", "lon", F.lit(45.0), F.lit(-80.0))
-    return rounded(points.select(F.col("point_id").alias("c_custkey"), km.alias("km")), "km")
+    return rounded(points.select(F.col("point_id").alias("c_custkey"), km.alias("km")), "km", digits=6)
 
 
 @query("composite_label", """

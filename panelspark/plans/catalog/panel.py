@@ -8,13 +8,14 @@ from panelspark.functions.names import require_columns
 from panelspark.functions.scalars import normalise_id
 from panelspark.operators.aggregates import (
     HOURS, entity_weighted_monthly, hour_profile, hourly_wide, mean_by_entity, mean_series, numeric_mean_by,
-    region_day, seasonality, station_day, station_day_from_readings, tail_by_date, top_entities,
+    region_day, seasonality, sort_panel, station_day, station_day_from_readings, tail_by_date, top_entities,
 )
 from panelspark.operators.dedupe import assert_unique
 from panelspark.operators.joins import (
     attach_region_by_site, attach_station_meta, attach_station_region, calendar_spine, distinct_keys, fill_region,
     join_panels, union_all, union_ids, unmapped_keys,
 )
+from panelspark.operators.ordering import ordered_index
 from panelspark.operators.profile import audit_table, observe_step
 from panelspark.plans.catalog.geo import nearest_suppliers
 from panelspark.plans.catalog.registry import (
@@ -33,7 +34,7 @@ WITH hourly AS (
 station AS (
   SELECT user_id, date, CASE WHEN COUNT(*) >= {MIN_HOURS} THEN AVG(mean) END AS daily_mean
   FROM hourly GROUP BY 1, 2)
-SELECT s.date, n.n_name AS region, ROUND(AVG(s.daily_mean), 6) AS region_daily_mean,
+SELECT s.date, n.n_name AS region, ROUND(AVG(s.daily_mean), 8) AS region_daily_mean,
        COUNT(DISTINCT s.user_id) AS n_stations_total, COUNT(s.daily_mean) AS n_stations_used
 FROM station s LEFT JOIN nation n ON s.user_id % 25 = n.n_nationkey GROUP BY 1, 2
 """)
@@ -55,7 +56,7 @@ WIDE = "wide AS (SELECT user_id, CAST(ts AS DATE) AS date, " + ", ".join(
 
 
 @query("hourly_wide", f"WITH {WIDE} SELECT user_id, date, "
-       + ", ".join(f"ROUND({h}, 6) AS {h}" for h in HOURS) + " FROM wide")
+       + ", ".join(f"ROUND({h}, 8) AS {h}" for h in HOURS) + " FROM wide")
 def hourly_wide_query(spark, sf_dir):
     return rounded(wide(spark, sf_dir), *HOURS)
 
@@ -64,7 +65,7 @@ def hourly_wide_query(spark, sf_dir):
 WITH {WIDE}, long AS (UNPIVOT wide ON {", ".join(HOURS)} INTO NAME h VALUE v),
 means AS (SELECT user_id, date, COUNT(*) AS n, AVG(v) AS m FROM long GROUP BY 1, 2)
 SELECT user_id, date, CAST(n AS INTEGER) AS n_hours,
-       CASE WHEN n >= {MIN_HOURS} THEN ROUND(m, 6) END AS daily_mean FROM means
+       CASE WHEN n >= {MIN_HOURS} THEN ROUND(m, 8) END AS daily_mean FROM means
 """)
 def station_day_wide(spark, sf_dir):
     return rounded(station_day(wide(spark, sf_dir), MIN_HOURS), "daily_mean")
@@ -72,7 +73,7 @@ def station_day_wide(spark, sf_dir):
 
 @query("hour_profile", f"""
 WITH {WIDE}, long AS (UNPIVOT wide ON {", ".join(HOURS)} INTO NAME h VALUE v)
-SELECT CAST(substr(h, 2) AS INTEGER) AS hour, ROUND(AVG(v), 6) AS mean FROM long GROUP BY 1
+SELECT CAST(substr(h, 2) AS INTEGER) AS hour, ROUND(AVG(v), 8) AS mean FROM long GROUP BY 1
 """)
 def hour_profile_query(spark, sf_dir):
     return rounded(hour_profile(wide(spark, sf_dir)), "mean")
@@ -162,7 +163,7 @@ wx AS (
   SELECT o_custkey % 25 AS nation_id, make_date(2024, 1, day(o_orderdate)) AS date,
          CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS price, COUNT(*) AS n_orders
   FROM orders WHERE o_custkey % 25 <> 7 GROUP BY 1, 2)
-SELECT p.nation_id, p.date, ROUND(p.value, 6) AS value, p.n_users, ROUND(w.price, 6) AS price, w.n_orders
+SELECT p.nation_id, p.date, ROUND(p.value, 8) AS value, p.n_users, ROUND(w.price, 6) AS price, w.n_orders
 FROM pm p {{how}} JOIN wx w ON p.nation_id = w.nation_id AND p.date = w.date
 """
 
@@ -171,7 +172,7 @@ def _panels(spark, sf_dir, how):
     weather = order_days(spark, sf_dir).where("nation_id <> 7").groupBy("nation_id", "date").agg(
         exact_mean("o_totalprice").alias("price"), F.count("*").alias("n_orders")
     )
-    return rounded(join_panels(nation_days(spark, sf_dir), weather, ["nation_id", "date"], how), "value", "price")
+    return rounded(rounded(join_panels(nation_days(spark, sf_dir), weather, ["nation_id", "date"], how), "value"), "price", digits=6)
 
 
 @query("panel_inner_join", _PANELS.format(how="INNER"))
@@ -186,8 +187,8 @@ def panel_left_join(spark, sf_dir):
 
 @query("weather_region_mean", """
 SELECT l_suppkey % 25 AS nation_id, date_trunc('month', l_shipdate)::DATE AS month,
-       ROUND(AVG(l_quantity), 6) AS l_quantity, ROUND(AVG(l_discount), 6) AS l_discount,
-       ROUND(AVG(l_tax), 6) AS l_tax, ROUND(AVG(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 6) AS is_returned
+       ROUND(AVG(l_quantity), 8) AS l_quantity, ROUND(AVG(l_discount), 8) AS l_discount,
+       ROUND(AVG(l_tax), 8) AS l_tax, ROUND(AVG(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 8) AS is_returned
 FROM lineitem GROUP BY 1, 2
 """)
 def weather_region_mean(spark, sf_dir):
@@ -205,7 +206,7 @@ def calendar_spine_query(spark, sf_dir):
     return calendar_spine(daily(spark, sf_dir), "user_id", "date", SPINE_START, SPINE_END)
 
 
-@query("daily_series", f"WITH {DAILY} SELECT date, ROUND(AVG(value), 6) AS mean FROM daily GROUP BY 1")
+@query("daily_series", f"WITH {DAILY} SELECT date, ROUND(AVG(value), 8) AS mean FROM daily GROUP BY 1")
 def daily_series(spark, sf_dir):
     return rounded(mean_series(daily(spark, sf_dir), "date", "value"), "mean")
 
@@ -218,7 +219,7 @@ SELECT month, ROUND(AVG(v), 6) AS entity_weighted_mean FROM m GROUP BY 1
 """)
 def entity_weighted_month(spark, sf_dir):
     out = entity_weighted_monthly(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
-    return rounded(out, "entity_weighted_mean")
+    return rounded(out, "entity_weighted_mean", digits=6)
 
 
 @query("seasonality", """
@@ -227,16 +228,16 @@ SELECT CAST(month_num AS INTEGER) AS month_num, ROUND(AVG(v), 6) AS entity_weigh
 """)
 def seasonality_query(spark, sf_dir):
     out = seasonality(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
-    return rounded(out, "entity_weighted_mean")
+    return rounded(out, "entity_weighted_mean", digits=6)
 
 
-@query("mean_by_entity", f"WITH {DAILY} SELECT user_id, ROUND(AVG(value), 6) AS mean, COUNT(value) AS n_days FROM daily GROUP BY 1")
+@query("mean_by_entity", f"WITH {DAILY} SELECT user_id, ROUND(AVG(value), 8) AS mean, COUNT(value) AS n_days FROM daily GROUP BY 1")
 def mean_by_entity_query(spark, sf_dir):
     return rounded(mean_by_entity(daily(spark, sf_dir), ["user_id"], "value"), "mean")
 
 
 @query("top_entities", f"""
-WITH {DAILY} SELECT user_id, ROUND(AVG(value), 6) AS mean, COUNT(value) AS n_days
+WITH {DAILY} SELECT user_id, ROUND(AVG(value), 8) AS mean, COUNT(value) AS n_days
 FROM daily GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30
 """)
 def top_entities_query(spark, sf_dir):
@@ -250,7 +251,7 @@ FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 30
 """)
 def last_30(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
-    return rounded(tail_by_date(mean_series(orders, "date", "o_totalprice"), "date", 30), "mean")
+    return rounded(tail_by_date(mean_series(orders, "date", "o_totalprice"), "date", 30), "mean", digits=6)
 
 
 @query("union_years", """
@@ -300,6 +301,14 @@ def audit_counts(spark, sf_dir):
     return audit_table(second, [("daily", len(first.columns), seen_first), ("spine", len(second.columns), seen_second)])
 
 
+@query("sorted_panel", f"""
+WITH {DAILY} SELECT user_id, date, value, ROW_NUMBER() OVER (ORDER BY user_id, date) - 1 AS position FROM daily
+""")
+def sorted_panel(spark, sf_dir):
+    panel = daily(spark, sf_dir).select("user_id", "date", "value")
+    return sort_panel(ordered_index(panel, "user_id", "date"), "user_id", "date")
+
+
 @query("normalised_ids", """
 SELECT user_id, COUNT(*) AS n_rows FROM events GROUP BY 1
 """)

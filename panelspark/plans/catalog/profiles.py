@@ -27,7 +27,7 @@ WITH {DAILY_TYPES} SELECT user_id, MIN(date) FILTER (click IS NOT NULL) AS first
 def missing_rates_by_entity_query(spark, sf_dir):
     rows = daily_types(spark, sf_dir).withColumn("first_day", F.when(F.col("click").isNotNull(), F.col("date")))
     out = missing_rates_by_entity(rows, "user_id", EVENT_TYPES, ["first_day"], order=["date"])
-    return rounded(out, *EVENT_TYPES)
+    return rounded(out, *EVENT_TYPES, digits=6)
 
 
 @query("missing_rates_by_column", f"""
@@ -36,12 +36,12 @@ WITH {DAILY_TYPES}, r AS (SELECT 0.0::DOUBLE AS user_id, 0.0::DOUBLE AS date,
 SELECT "column", ROUND(missing_rate, 6) AS missing_rate FROM (UNPIVOT r ON user_id, date,
 """ + ", ".join(f'"{t}"' for t in EVENT_TYPES) + """ INTO NAME "column" VALUE missing_rate)""")
 def missing_rates_by_column(spark, sf_dir):
-    return rounded(missing_rates(daily_types(spark, sf_dir)), "missing_rate")
+    return rounded(missing_rates(daily_types(spark, sf_dir)), "missing_rate", digits=6)
 
 
 @query("overall_missing_rate", f"WITH {DAILY_TYPES} SELECT ROUND(AVG(({TYPE_NULLS}) / 7.0::DOUBLE), 6) AS missing_rate FROM daily_types")
 def overall_missing_rate_query(spark, sf_dir):
-    return rounded(overall_missing_rate(daily_types(spark, sf_dir)), "missing_rate")
+    return rounded(overall_missing_rate(daily_types(spark, sf_dir)), "missing_rate", digits=6)
 
 
 @query("row_missing_hist", f"WITH {DAILY_TYPES} SELECT CAST({TYPE_NULLS} AS INTEGER) AS n_missing, COUNT(*) AS n_rows FROM daily_types GROUP BY 1")
@@ -51,12 +51,12 @@ def row_missing_hist(spark, sf_dir):
 
 @query("missing_by_entity", f"WITH {DAILY_TYPES} SELECT user_id, ROUND(AVG({TYPE_NULLS}) / 7, 6) AS missing_rate FROM daily_types GROUP BY 1")
 def missing_by_entity(spark, sf_dir):
-    return rounded(missing_rate_by(daily_types(spark, sf_dir), "user_id"), "missing_rate")
+    return rounded(missing_rate_by(daily_types(spark, sf_dir), "user_id"), "missing_rate", digits=6)
 
 
 @query("missing_by_date", f"WITH {DAILY_TYPES} SELECT date, ROUND(AVG({TYPE_NULLS}) / 7, 6) AS missing_rate FROM daily_types GROUP BY 1")
 def missing_by_date(spark, sf_dir):
-    return rounded(missing_rate_by(daily_types(spark, sf_dir), "date"), "missing_rate")
+    return rounded(missing_rate_by(daily_types(spark, sf_dir), "date"), "missing_rate", digits=6)
 
 
 @query("all_missing_days", f"""
@@ -75,7 +75,7 @@ SELECT COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_SAMP(v), 6) AS std,
 """)
 def series_summary_query(spark, sf_dir):
     series = mean_series(daily(spark, sf_dir), "date", "value", "v")
-    return rounded(series_summary(series, "v"), "mean", "std", "min", "max", "p50", "p90", "p95", "p99")
+    return rounded(series_summary(series, "v"), "mean", "std", "min", "max", "p50", "p90", "p95", "p99", digits=6)
 
 
 @query("distribution_summary", """
@@ -86,7 +86,7 @@ FROM events
 """)
 def distribution_summary_query(spark, sf_dir):
     out = distribution_summary(table(spark, sf_dir, "events"), "value")
-    return rounded(out, "mean", "std", "p50", "p90", "p95", "p99")
+    return rounded(out, "mean", "std", "p50", "p90", "p95", "p99", digits=6)
 
 
 @query("moments_adjusted", """
@@ -95,7 +95,7 @@ SELECT COUNT(value) AS n, ROUND(AVG(value), 6) AS mean, ROUND(VAR_SAMP(value), 5
 """)
 def moments_adjusted(spark, sf_dir):
     out = describe_adjusted(table(spark, sf_dir, "events"), "value")
-    return rounded(rounded(out, "mean", "skewness", "kurtosis"), "variance", digits=5)
+    return rounded(rounded(out, "mean", "skewness", "kurtosis", digits=6), "variance", digits=5)
 
 
 @query("region_means", f"""
@@ -104,7 +104,7 @@ FROM daily GROUP BY 1
 """)
 def region_means(spark, sf_dir):
     rows = daily(spark, sf_dir).withColumn("region", F.col("user_id") % 25)
-    return rounded(rounded(mean_by_group(rows, "region", "value"), "mean"), "variance", digits=5)
+    return rounded(rounded(mean_by_group(rows, "region", "value"), "mean", digits=6), "variance", digits=5)
 
 
 @query("variance_split", f"""
@@ -132,7 +132,7 @@ def corr_with_next_day(spark, sf_dir):
         "value", "n_hours", F.when(F.col("user_id") % 3 == 0, F.col("value") * F.col("value")).alias("partly"),
         F.lit(0.0).alias("zeros"), "label",
     )
-    return rounded(corr_with_target(rows, "label"), "correlation")
+    return rounded(corr_with_target(rows, "label"), "correlation", digits=6)
 
 
 HISTOGRAM = """
@@ -145,12 +145,12 @@ SELECT bin, ROUND(MIN(lo) + bin * MIN(w), 6) AS bin_start, COUNT(*) AS n FROM b
 
 @query("histogram_50", HISTOGRAM.format(bins=50))
 def histogram_50(spark, sf_dir):
-    return rounded(histogram(table(spark, sf_dir, "events"), "value", 50), "bin_start")
+    return rounded(histogram(table(spark, sf_dir, "events"), "value", 50), "bin_start", digits=6)
 
 
 @query("histogram_120", HISTOGRAM.format(bins=120))
 def histogram_120(spark, sf_dir):
-    return rounded(histogram(table(spark, sf_dir, "events"), "value", 120), "bin_start")
+    return rounded(histogram(table(spark, sf_dir, "events"), "value", 120), "bin_start", digits=6)
 
 
 @query("completeness", f"""
@@ -158,7 +158,7 @@ WITH {DAILY} SELECT COUNT(*) AS n_rows, COUNT(DISTINCT user_id) AS n_entities, 3
 ROUND(COUNT(*) / (COUNT(DISTINCT user_id) * 30) * 100, 6) AS completeness_pct FROM daily
 """)
 def completeness_query(spark, sf_dir):
-    return rounded(completeness(daily(spark, sf_dir), "user_id", "2024-01-01", "2024-01-30"), "completeness_pct")
+    return rounded(completeness(daily(spark, sf_dir), "user_id", "2024-01-01", "2024-01-30"), "completeness_pct", digits=6)
 
 
 @query("schema_report", """
@@ -190,7 +190,7 @@ WITH {NATION_SERIES}, l AS (
     f"SELECT nation_id, {k} AS lag, ROUND(CORR(value, l{k}), 6) AS correlation FROM l GROUP BY 1" for k in range(1, 15)
 ))
 def autocorr(spark, sf_dir):
-    return rounded(lag_autocorr(nation_series(spark, sf_dir), "nation_id", "date", "value", 14), "correlation")
+    return rounded(lag_autocorr(nation_series(spark, sf_dir), "nation_id", "date", "value", 14), "correlation", digits=6)
 
 
 @query("acf", f"""
@@ -202,10 +202,10 @@ l AS (SELECT nation_id, c, {", ".join(f"LAG(c, {k}) OVER w AS l{k}" for k in ran
     f"SELECT nation_id, {k} AS lag, ROUND(SUM(c * l{k}) / SUM(c * c), 6) AS acf FROM l GROUP BY 1" for k in range(21)
 ))
 def acf_query(spark, sf_dir):
-    return rounded(acf(nation_series(spark, sf_dir), "nation_id", "date", "value", 20), "acf")
+    return rounded(acf(nation_series(spark, sf_dir), "nation_id", "date", "value", 20), "acf", digits=6)
 
 
 @query("adf")
 def adf(spark, sf_dir):
     out = adf_test(nation_series(spark, sf_dir), "nation_id", "date", "value")
-    return rounded(out, "adf_statistic", "p_value")
+    return rounded(out, "adf_statistic", "p_value", digits=6)

@@ -40,7 +40,7 @@ def write_reports(spark, sf_dir) -> str:
 
 
 @query("block_report_rows", f"""
-WITH {WIDE} SELECT user_id + 1000 AS "Station ID", 'PM' AS "Pollutant", date AS "Date", {", ".join(f"ROUND({h}, 6) AS {h}" for h in HOURS)},
+WITH {WIDE} SELECT user_id + 1000 AS "Station ID", 'PM' AS "Pollutant", date AS "Date", {", ".join(f"ROUND({h}, 8) AS {h}" for h in HOURS)},
 2024 AS year FROM wide
 """)
 def block_report_rows(spark, sf_dir):
@@ -58,7 +58,7 @@ def station_meta(spark, sf_dir):
 @query("reports_to_region_day", f"""
 WITH {WIDE}, long AS (UNPIVOT wide ON {", ".join(HOURS)} INTO NAME h VALUE v),
 station AS (SELECT user_id, date, CASE WHEN COUNT(*) >= {MIN_HOURS} THEN AVG(v) END AS m FROM long GROUP BY 1, 2)
-SELECT s.date AS "Date", n.n_name AS region, ROUND(AVG(m), 6) AS pm25_region_daily_avg,
+SELECT s.date AS "Date", n.n_name AS region, ROUND(AVG(m), 8) AS pm25_region_daily_avg,
        COUNT(DISTINCT user_id) AS n_stations_total, COUNT(m) AS n_stations_used
 FROM station s LEFT JOIN nation n ON s.user_id % 25 = n.n_nationkey GROUP BY 1, 2
 """)
@@ -84,9 +84,9 @@ sites AS (SELECT s_suppkey AS ord, n_name AS region, 42 + (s_suppkey * 41 % 1000
 near AS (
   SELECT p.station, s.region, ROUND({HAVERSINE_SQL}, 9) AS km FROM (SELECT DISTINCT station, lat, lon FROM raw) p
   CROSS JOIN sites s QUALIFY ROW_NUMBER() OVER (PARTITION BY p.station ORDER BY km, s.ord) = 1)
-SELECT n.region, o.date, ROUND(AVG(CASE WHEN temp <= 50 THEN temp END), 6) AS max_temp_degc,
-       ROUND(AVG((temp > 50)::INT), 6) AS max_temp_degc_is_outlier, ROUND(AVG(rain), 6) AS total_rain_mm,
-       ROUND(AVG(trace::INT), 6) AS total_rain_mm_is_trace
+SELECT n.region, o.date, ROUND(AVG(CASE WHEN temp <= 50 THEN temp END), 8) AS max_temp_degc,
+       ROUND(AVG((temp > 50)::INT), 8) AS max_temp_degc_is_outlier, ROUND(AVG(rain), 8) AS total_rain_mm,
+       ROUND(AVG(trace::INT), 8) AS total_rain_mm_is_trace
 FROM one o JOIN near n ON o.station = n.station WHERE n.km <= 75 GROUP BY 1, 2
 """)
 def weather_to_region_day(spark, sf_dir):

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from panelspark.functions.names import normalise_headers, rename_roles, reorder, station_column
 from panelspark.operators.aggregates import HOURS, numeric_mean_by, region_day, station_day
 from panelspark.operators.clean import clean_weather, drop_null_rows, null_sentinels, prune_panel
-from panelspark.operators.dedupe import drop_full_duplicates, first_per_key, merge_key_duplicates
+from panelspark.operators.dedupe import first_per_key, merge_key_duplicates
 from panelspark.operators.geo import nearest_site, station_coordinates
 from panelspark.operators.impute import ffill, fill_zero, interpolate_forward
 from panelspark.operators.joins import (
     attach_region_by_site, attach_station_meta, attach_station_region, calendar_spine, fill_region, join_panels,
 )
 from panelspark.operators.windows import next_label, panel_features
+from panelspark.session import materialise
 from panelspark.sources.reports import extract_station_meta, read_block_report, report_preambles
 
 KEY = ["station_id", "Pollutant", "Date"]
@@ -63,8 +64,9 @@ def hourly_table(spark: SparkSession, reports: str | list[str], lookup: DataFram
     stations = first_per_key(meta, ["station_id"])
     if lookup is not None:
         stations = attach_station_region(stations, lookup)
-    joined = drop_full_duplicates(attach_station_meta(readings, stations))
-    merged = merge_key_duplicates(null_sentinels(joined, HOURS, MISSING_CODES), KEY, HOURS)
+    joined = null_sentinels(attach_station_meta(readings, stations), HOURS, MISSING_CODES)
+    # Equal rows need no step of their own: they add no distinct value to their key.
+    merged = merge_key_duplicates(materialise(joined, "hourly"), KEY, HOURS)
     out = merged if keep_year else merged.drop("year")
     return reorder(out, [*KEY, "station_name", "region", "latitude", "longitude"], HOURS)
 

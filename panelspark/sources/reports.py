@@ -44,49 +44,71 @@ def _is_data() -> Column:
     return F.col("value").rlike(DATA_LINE)
 
 
-def _with_state(lines: DataFrame, marker: Column, fold, carry) -> DataFrame:
-    """Add ``state``: the markers up to each line, folded over its split and all earlier splits of the file."""
+def _with_state(lines: DataFrame, marker: Column, fold, carry, back: bool = False) -> DataFrame:
+    """Fold the markers up to each line: ``_here`` over its split, ``_in`` over the splits of the file before it.
+
+    With ``back`` the file is read from its end.
+    """
     marked = lines.withColumn("_marker", marker)
-    in_split = W.partitionBy("file", "split").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    line, split = (F.desc("line"), F.desc("split")) if back else (F.col("line"), F.col("split"))
+    in_split = W.partitionBy("file", "split").orderBy(line).rowsBetween(W.unboundedPreceding, W.currentRow)
+    others = W.partitionBy("file").orderBy(split).rowsBetween(W.unboundedPreceding, -1)
     per_split = marked.groupBy("file", "split").agg(carry.alias("_out"))
-    arriving = per_split.withColumn("_in", fold(F.col("_out")).over(earlier)).drop("_out")
+    arriving = per_split.withColumn("_in", fold(F.col("_out")).over(others)).drop("_out")
     return marked.withColumn("_here", fold(F.col("_marker")).over(in_split)).join(arriving, ["file", "split"])
 
 
-def read_block_report(spark: SparkSession, path: str | list[str], columns: Sequence[str] = REPORT_COLUMNS) -> DataFrame:
+def read_block_report(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] = REPORT_COLUMNS, keep_unclosed: bool = True
+) -> DataFrame:
     """The data lines of all blocks, columns by the names in their block's header.
 
-    A block runs from its header to the next line that is neither data nor blank; a further header starts a
-    new block and keeps the rows read so far.
+    A block runs from its header to the next line that is neither data nor blank, or to the end of the file.
+    Rows directly followed by a further header are kept unless ``keep_unclosed`` is false.
     """
     lines = report_lines(spark, path)
     closes = ~_is_data() & (F.trim("value") != "")
-    marker = F.when(_is_header(), F.struct(F.col("value").alias("header"))).when(
-        closes, F.struct(F.lit(None).cast("string").alias("header"))
-    )
+    if not keep_unclosed:
+        ends = F.when(closes, _is_header())
+        first = F.min_by("_marker", F.when(F.col("_marker").isNotNull(), F.col("line")))
+        seen = _with_state(lines, ends, lambda m: F.last(m, ignorenulls=True), first, back=True)
+        lost = _is_data() & F.coalesce(F.col("_here"), F.col("_in"), F.lit(False))
+        lines = seen.where(~lost).select("file", "split", "line", "value")
+    names = F.filter(F.transform(F.split("value", ","), lambda n: F.trim(n)), lambda n: n != "")
+    hours = [c for c in columns if c in HOURS]
+    heads = [c for c in columns if c not in HOURS]
+
+    def places(wanted: Sequence[str]) -> Column:
+        return F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_position(names, c).cast("int"))
+
+    opened = F.struct(places(heads).alias("heads"), places(hours).alias("hours"))  # where each column stands
+    closed = F.from_json(F.lit("{}"), "heads array<int>, hours array<int>")
+    marker = F.when(_is_header(), opened).when(closes, closed)
     last = F.max_by("_marker", F.when(F.col("_marker").isNotNull(), F.col("line")))
     stated = _with_state(lines, marker, lambda m: F.last(m, ignorenulls=True), last)
-    header = F.coalesce(F.col("_here"), F.col("_in"))["header"]
-    names = F.filter(F.transform(F.split(header, ","), lambda n: F.trim(n)), lambda n: n != "")
-    cells = F.split(F.regexp_replace(F.rtrim("value"), ",+$", ""), ",")
-    rows = stated.where(_is_data() & header.isNotNull()).select("file", names.alias("_names"), cells.alias("_cells"))
-
-    def cell(name: str) -> Column:
-        text = F.trim(F.try_element_at("_cells", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int")))
-        return F.nullif(text, F.lit(""))
+    rows = stated.where(_is_data()).select(
+        "file", F.coalesce(F.col("_here"), F.col("_in")).alias("_at"),
+        F.split(F.regexp_replace(F.rtrim("value"), ",+$", ""), ",").alias("_cells"),
+    ).where("_at.heads is not null")
+
+    def text(place: Column) -> Column:
+        return F.trim(F.try_element_at(F.col("_cells"), F.nullif(place, F.lit(0))))
+
+    numbers = F.transform(F.col("_at.hours"), lambda p: to_number(text(p)))
+    read = rows.select(
+        "file", F.transform(F.col("_at.heads"), text).alias("_texts"),
+        F.transform(numbers, lambda n: F.when(n != MISSING_HOUR, n)).alias("_numbers"),
+    )
 
     def typed(name: str) -> Column:
-        if name in HOURS:
-            number = to_number(cell(name))
-            return F.when(number != MISSING_HOUR, number)
+        if name in hours:
+            return F.col("_numbers")[hours.index(name)]
+        found = F.nullif(F.col("_texts")[heads.index(name)], F.lit(""))
         if name == "Date":
-            return to_day(cell(name))
-        if name == "Station ID":
-            return to_number(cell(name)).cast("long")
-        return cell(name)
+            return to_day(found)
+        return to_number(found).cast("long") if name == "Station ID" else found
 
-    return rows.select(*[typed(c).alias(c) for c in columns], year_from_path(F.col("file")).alias("year"))
+    return read.select(*[typed(c).alias(c) for c in columns], year_from_path(F.col("file")).alias("year"))
 
 
 def report_preambles(spark: SparkSession, path: str | list[str]) -> DataFrame:
