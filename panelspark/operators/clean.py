@@ -113,22 +113,31 @@ def exclude(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     return df.where(~F.coalesce(F.col(col).isin(*values), F.lit(False)))
 
 
-def drop_all_zero(df: DataFrame) -> DataFrame:
-    """Drop numeric columns that are 0 in every row; one null keeps the column."""
+def _dull_columns(df: DataFrame, zero: bool, eps: float | None) -> list[str]:
+    """Numeric columns that are 0 throughout, or whose sample variance is below ``eps``: one pass for both."""
     cols = numeric_columns(df)
     if not cols:
-        return df
-    row = df.agg(*[F.bool_and(F.coalesce(F.col(c) == 0, F.lit(False))).alias(c) for c in cols]).first()
-    return df.drop(*[c for c in cols if row[c]])
+        return []
+    found = [
+        F.struct(
+            F.bool_and(F.coalesce(F.col(c) == 0, F.lit(False))).alias("zero"),
+            F.try_divide(F.var_pop(c) * F.count(c), F.count(c) - 1).alias("variance"),
+        ).alias(c)
+        for c in cols
+    ]
+    row = df.agg(*found).first()
+    flat = [c for c in cols if eps is not None and row[c]["variance"] is not None and row[c]["variance"] < eps]
+    return flat + [c for c in cols if zero and row[c]["zero"]]
+
+
+def drop_all_zero(df: DataFrame) -> DataFrame:
+    """Drop numeric columns that are 0 in every row; one null keeps the column."""
+    return df.drop(*_dull_columns(df, zero=True, eps=None))
 
 
 def drop_near_constant(df: DataFrame, eps: float = 1e-8) -> DataFrame:
     """Drop numeric columns whose sample variance is below ``eps``."""
-    cols = numeric_columns(df)
-    if not cols:
-        return df
-    row = df.agg(*[F.try_divide(F.var_pop(c) * F.count(c), F.count(c) - 1).alias(c) for c in cols]).first()
-    return df.drop(*[c for c in cols if row[c] is not None and row[c] < eps])
+    return df.drop(*_dull_columns(df, zero=False, eps=eps))
 
 
 def clean_rows(raw: DataFrame, keep_flags: bool = False) -> DataFrame:
@@ -161,8 +170,8 @@ def clean_weather(raw: DataFrame, order: Sequence[str] = (), keep_flags: bool =
     return first_per_key(clean_rows(raw, keep_flags), ["station_id", "date"], order)
 
 
-def prune_panel(df: DataFrame, drop_regions: Sequence[str], region: str = "region") -> DataFrame:
+def prune_panel(df: DataFrame, drop_regions: Sequence[str], region: str = "region", eps: float = 1e-8) -> DataFrame:
     """Drop incomplete regions, counts, flag columns, all-zero and near-constant columns."""
     kept = exclude(df, region, drop_regions) if drop_regions else df
     kept = drop_matching(kept, contains=["_is_", "data_quality"], names=["n_stations_total", "n_stations_used"])
-    return drop_near_constant(drop_all_zero(kept))
+    return kept.drop(*_dull_columns(kept, zero=True, eps=eps))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import null_safe, valid_count
+from panelspark.session import materialise
 
 
 def drop_full_duplicates(df: DataFrame) -> DataFrame:
@@ -106,6 +107,7 @@ def _merge_repeated(df: DataFrame, key: Sequence[str], value_cols: Sequence[str]
         "_conflict": F.exists(F.array(*differs), lambda d: d), "_many": F.exists(F.array(*crowded), lambda d: d),
     })
 
+    merged = materialise(merged, "merged")
     names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     many = merged.where("_many").select(*names)
     cell = [F.struct(F.lit(i).alias("_cell"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(value_cols)]

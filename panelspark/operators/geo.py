@@ -113,7 +113,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, threshold_km: float = 75.0
     order. Of sites equally near, to within a micrometre, the first in source order wins.
     """
     places = points.where("point_id is not null and lat is not null and lon is not null")
-    spots = spread(places.select("lat", "lon").distinct(), "lat", "lon")
+    spots = spread(places.select("lat", "lon").distinct(), F.xxhash64("lat", "lon"))
     usable = sites.where("region is not null and lat is not null and lon is not null")
     row = F.struct("ord", "site_id", "region")
     unique = usable.groupBy("lat", "lon").agg(F.min_by(row, "ord").alias("_s")).select("_s.*", "lat", "lon")

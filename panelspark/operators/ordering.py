@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.session import materialise
 
@@ -91,6 +92,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
 
 def day_counts(df: DataFrame, date: str) -> list[tuple]:
     """(day, rows) in order: as many as the calendar has days."""
+    if df.schema[date].dataType != T.DateType():
+        raise TypeError(f"{date} must hold days")
     return [tuple(row) for row in df.groupBy(date).count().orderBy(date).collect()]
 
 

@@ -11,6 +11,7 @@ from panelspark.operators.windows import (
     add_calendar, add_diffs, add_lags, add_rolling, next_label, panel_features, sequence_tail, sequences, time_split,
     time_split_by,
 )
+from panelspark.plans import stages
 from panelspark.plans.catalog.registry import (
     DAILY, DAILY_TYPES, EVENT_TYPES, SPINE, SPINE_END, SPINE_START, daily, daily_types, query, rounded, table,
 )
@@ -198,3 +199,68 @@ SELECT user_id, date, CASE WHEN rn <= n_train - greatest(floor(0.1::DOUBLE * n_t
 def time_split_global(spark, sf_dir):
     rows = daily(spark, sf_dir).select("user_id", "date")
     return time_split(rows, "date", "user_id", 0.8, valid_frac=0.1)
+
+
+# A panel with the columns of the study: event types stand in for weather.
+WEATHER = {
+    "mean_temp_degc": "click", "spd_of_max_gust_km_h": "view", "dir_of_max_gust_deg": "error",
+    "total_rain_mm": "purchase", "total_snow_cm": "signup",
+}
+
+
+def study_panel(spark, sf_dir):
+    values = daily(spark, sf_dir).select("user_id", "date", F.col("value").alias(stages.PM))
+    named = daily_types(spark, sf_dir).withColumnsRenamed({t: c for c, t in WEATHER.items()})
+    region = F.concat(F.lit("User "), F.col("user_id").cast("string"))
+    return values.join(named, ["user_id", "date"]).select(
+        region.alias("region"), "date", stages.PM, *WEATHER, F.lit(0).alias("total_precip_mm"),
+        F.lit(1).alias("n_stations_used"), F.lit(0).alias("mean_temp_degc_is_outlier"),
+    )
+
+
+def _fill_sql(c, limit, line):
+    between = f"v0_{c} + (v1_{c} - v0_{c}) / (n1_{c} - n0_{c}) * (rn - n0_{c})" if line else f"v0_{c}"
+    value = f"CASE WHEN v1_{c} IS NULL THEN v0_{c} ELSE {between} END" if line else between
+    return f"ROUND(CASE WHEN {c} IS NOT NULL THEN {c} WHEN rn - n0_{c} <= {limit} THEN {value} END, 6) AS {c}"
+
+
+def _around_sql(c):
+    at = f"CASE WHEN {c} IS NOT NULL THEN rn END"
+    return (
+        f"LAST_VALUE({at} IGNORE NULLS) OVER back AS n0_{c}, LAST_VALUE({c} IGNORE NULLS) OVER back AS v0_{c}, "
+        f"FIRST_VALUE({at} IGNORE NULLS) OVER ahead AS n1_{c}, FIRST_VALUE({c} IGNORE NULLS) OVER ahead AS v1_{c}"
+    )
+
+
+GAPPED = ["mean_temp_degc", "spd_of_max_gust_km_h", "dir_of_max_gust_deg"]
+
+IMPUTED = f"""
+WITH {DAILY}, {DAILY_TYPES}, p AS (
+  SELECT 'User ' || d.user_id AS region, d.date, d.value AS pm25_region_daily_avg,
+         {", ".join(f'"{t}" AS {c}' for c, t in WEATHER.items())},
+         ROW_NUMBER() OVER (PARTITION BY d.user_id ORDER BY d.date) AS rn
+  FROM daily d JOIN daily_types t ON d.user_id = t.user_id AND d.date = t.date WHERE d.user_id <> 3),
+a AS (SELECT *, {", ".join(_around_sql(c) for c in GAPPED)} FROM p
+  WINDOW back AS (PARTITION BY region ORDER BY rn ROWS UNBOUNDED PRECEDING),
+    ahead AS (PARTITION BY region ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+imputed AS (SELECT region, date, pm25_region_daily_avg, COALESCE(total_rain_mm, 0) AS total_rain_mm,
+       COALESCE(total_snow_cm, 0) AS total_snow_cm, {_fill_sql("mean_temp_degc", 5, True)},
+       {_fill_sql("spd_of_max_gust_km_h", 3, True)}, {_fill_sql("dir_of_max_gust_deg", 2, False)} FROM a)
+"""
+
+
+@query("imputed_panel", IMPUTED + "SELECT * FROM imputed")
+def imputed_panel(spark, sf_dir):
+    return rounded(stages.imputed_panel(study_panel(spark, sf_dir), ["User 3"]), *GAPPED, digits=6)
+
+
+@query("labelled_panel", IMPUTED + f"""
+, g AS (SELECT region, CAST(unnest(generate_series(DATE '{SPINE_START}', DATE '{SPINE_END}', INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT region FROM imputed))
+SELECT * FROM (
+  SELECT g.region, g.date, i.* EXCLUDE (region, date), LEAD(pm25_region_daily_avg) OVER (PARTITION BY g.region ORDER BY g.date) AS pm25_label
+  FROM g LEFT JOIN imputed i ON g.region = i.region AND g.date = i.date) WHERE pm25_label IS NOT NULL
+""")
+def labelled_panel(spark, sf_dir):
+    panel = stages.imputed_panel(study_panel(spark, sf_dir), ["User 3"])
+    return rounded(stages.labelled_panel(panel, SPINE_START, SPINE_END), *GAPPED, digits=6)

@@ -9,9 +9,10 @@ from panelspark.operators.forecast import (
     apply_scaler, baselines, category_index, fit_scaler, huber_loss, l1_loss, metrics, permutation_importance,
     weighted_l1,
 )
-from panelspark.operators.lasso import coefficient_table, fit_lasso_by, model_metrics, score_linear
+from panelspark.operators.lasso import coefficient_table, fit_lasso_by, model_metrics, number_folds, score_linear
+from panelspark.operators.moments import moment_rows
 from panelspark.operators.ordering import ordered_index
-from panelspark.operators.windows import next_label, panel_features
+from panelspark.operators.windows import add_lags, next_label, panel_features, time_split_by
 from panelspark.plans.catalog.features import SEQ_LEN, user_sequences
 from panelspark.plans.catalog.profiles import nation_series
 from panelspark.plans.catalog.registry import DAILY, daily, query, rounded
@@ -160,6 +161,37 @@ def nation_models(spark, sf_dir):
     return fit_lasso_by(nation_features(spark, sf_dir), "nation_id", "date", FEATURES, "label")
 
 
+PAIRS = ["one", "value", "past", "label"]
+
+
+@query("fold_moments", """
+WITH series AS (
+  SELECT o_custkey % 25 AS nation_id, CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) / 100000 AS value
+  FROM orders GROUP BY 1, 2),
+f AS (SELECT *, 1 AS one, LAG(value) OVER w AS past, LEAD(value) OVER w AS label FROM series
+      WINDOW w AS (PARTITION BY nation_id ORDER BY date)),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY nation_id ORDER BY date) - 1 AS i,
+      CAST(floor(COUNT(*) OVER (PARTITION BY nation_id) * 0.8::DOUBLE) AS BIGINT) AS n
+      FROM f WHERE past IS NOT NULL AND label IS NOT NULL),
+k AS (SELECT *, CAST(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+      ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM t WHERE i < n)
+SELECT nation_id, fold, """ + ", ".join(
+    f"ROUND(SUM({a} * {b})::DOUBLE, 6) AS {a}_{b}" for i, a in enumerate(PAIRS) for b in PAIRS[i:]
+) + " FROM k GROUP BY 1, 2")
+def fold_moments(spark, sf_dir):
+    series = nation_series(spark, sf_dir).withColumn("value", F.col("value") / 100000)
+    lagged = add_lags(next_label(series, "nation_id", "date", "value"), "nation_id", "date", {"value": [1]})
+    rows = time_split_by(lagged.dropna(), "nation_id", "date")
+    train = number_folds(rows, "nation_id", "date", 5)
+    sums = moment_rows(train, ["nation_id", "fold"], ["value", "value_lag_1", "label"])
+    cells = [
+        F.max(F.when(F.col("i") == i, F.col("s")[j])).alias(f"{a}_{PAIRS[j]}")
+        for i, a in enumerate(PAIRS) for j in range(i, len(PAIRS))
+    ]
+    wide = sums.groupBy("nation_id", "fold").agg(*cells)
+    return rounded(wide, *wide.columns[2:], digits=6)
+
+
 @query("lasso_by_region")
 def lasso_by_region(spark, sf_dir):
     models, rows = nation_models(spark, sf_dir)
