@@ -1,5 +1,5 @@
-"""De-duplication. Every step is an aggregate with map-side combine, so a key with many copies is
-reduced before it is shuffled and no group is gathered in one task."""
+"""De-duplication. Every step reduces the copies of a key within each task before it shuffles them, so no
+group is gathered in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import null_safe, valid_count
@@ -26,15 +27,17 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
-    """The first row of each key in ``order`` (source position); all other columns break ties."""
-    rest = [c for c in df.columns if c not in key]
-    if not rest:
+def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key in ``order`` (source position); all other columns break ties.
+
+    Spark applies the limit of one row per key in every task before the shuffle as well, so a key with many
+    rows arrives as one row per task.
+    """
+    rest = [c for c in df.columns if c not in key and c not in order]
+    if not rest and not order:
         return df.distinct()
-    row = F.struct(*rest)
-    rank = F.struct(*order, row) if order else row
-    first = df.groupBy(*key).agg(F.min_by(row, rank).alias("_row"))
-    return first.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])
+    first = W.partitionBy(*key).orderBy(*order, *rest)
+    return df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def _any(conditions: Sequence[Column]) -> Column:

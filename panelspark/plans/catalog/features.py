@@ -13,7 +13,7 @@ from panelspark.operators.windows import (
 )
 from panelspark.plans import stages
 from panelspark.plans.catalog.registry import (
-    DAILY, DAILY_TYPES, EVENT_TYPES, SPINE, SPINE_END, SPINE_START, daily, daily_types, query, rounded, table,
+    DAILY, DAILY_TYPES, SPINE, SPINE_END, SPINE_START, daily, daily_types, query, rounded, table,
 )
 
 BY_USER = "WINDOW w AS (PARTITION BY user_id ORDER BY date)"

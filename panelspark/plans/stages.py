@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelspark.functions.names import normalise_headers, rename_roles, reorder, station_column
 from panelspark.operators.aggregates import HOURS, numeric_mean_by, region_day, station_day
