@@ -114,17 +114,20 @@ def drop_matching(
 
 def reorder(df: DataFrame, first: Sequence[str], last: Sequence[str] = ()) -> DataFrame:
     """``first`` (where present), then all other columns, then ``last``."""
-    head = [c for c in first if c in df.columns]
+    names = df.columns
+    head = [c for c in first if c in names]
     ends = set(head) | set(last)
-    return df.select(*head, *[c for c in df.columns if c not in ends], *last)
+    return df.select(*head, *[c for c in names if c not in ends], *last)
 
 
 def rename_roles(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed({old: new for old, new in mapping.items() if old in df.columns})
+    names = df.columns
+    return df.withColumnsRenamed({old: new for old, new in mapping.items() if old in names})
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
+    present = df.columns
+    missing = [n for n in names if n not in present]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     return df

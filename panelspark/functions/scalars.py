@@ -91,19 +91,20 @@ def synthetic_id(lat: Column | str, lon: Column | str, digits: int = 5) -> Colum
     )
 
 
-def _total(parts: Sequence[Column]) -> Column:
-    return functools.reduce(operator.add, parts)
+def quoted(name: str) -> str:
+    """Column name for use in an SQL expression, which builds a wide expression in one call to the JVM."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def valid_count(cols: Sequence[str]) -> Column:
     """How many of the columns hold a value."""
-    return _total([F.col(c).isNotNull().cast("int") for c in cols])
+    return F.expr(" + ".join(f"int({quoted(c)} is not null)" for c in cols))
 
 
 def row_mean(cols: Sequence[str]) -> Column:
     """Mean over the columns that hold a value; null if none does."""
-    total = _total([F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
-    return total / F.nullif(valid_count(cols), F.lit(0))
+    total = " + ".join(f"coalesce({quoted(c)}, 0D)" for c in cols)
+    return F.try_divide(F.expr(total), valid_count(cols))
 
 
 def apply_min_hours(mean: Column, hours: Column, min_hours: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import numeric_columns, require_columns
-from panelspark.functions.scalars import apply_min_hours, row_mean, valid_count
+from panelspark.functions.scalars import apply_min_hours, quoted, row_mean, valid_count
 
 HOURS = [f"H{hour:02d}" for hour in range(1, 25)]
 
@@ -16,9 +16,8 @@ HOURS = [f"H{hour:02d}" for hour in range(1, 25)]
 def hourly_wide(df: DataFrame, keys: Sequence[str], hour: Column, value: str) -> DataFrame:
     """Readings to one row per key with a mean per hour, in columns H01 to H24."""
     slots = df.withColumn("_hour", hour)
-    return slots.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("_hour") == i, F.col(value))).alias(name) for i, name in enumerate(HOURS, 1)]
-    )
+    means = [F.expr(f"avg(if(_hour = {i}, {quoted(value)}, null)) as {name}") for i, name in enumerate(HOURS, 1)]
+    return slots.groupBy(*keys).agg(*means)
 
 
 def station_day(df: DataFrame, min_hours: int = 0, hours: Sequence[str] = HOURS, name: str = "daily_mean") -> DataFrame:
@@ -78,7 +77,7 @@ def seasonality(df: DataFrame, entity: str, date: str, value: str) -> DataFrame:
 
 def hour_profile(df: DataFrame, hours: Sequence[str] = HOURS, name: str = "mean") -> DataFrame:
     """Mean per hour of the day from wide hour columns."""
-    means = df.agg(*[F.avg(c).alias(str(int(c[1:]))) for c in hours])
+    means = df.agg(*[F.expr(f"avg({quoted(c)}) as `{int(c[1:])}`") for c in hours])
     return means.unpivot([], [str(int(c[1:])) for c in hours], "hour", name).withColumn(
         "hour", F.col("hour").cast("int")
     )

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import drop_matching, numeric_columns, snake_case
-from panelspark.functions.scalars import date_parts, direction_degrees, has_mark, normalise_id, to_day, to_number
+from panelspark.functions.scalars import (
+    date_parts, direction_degrees, has_mark, normalise_id, quoted, to_day, to_number,
+)
 from panelspark.operators.dedupe import first_per_key
 
 # The measured columns of a daily weather file.
@@ -55,7 +57,8 @@ TRACE_COLUMNS = ["total_rain", "total_snow", "total_precip", "snow_on_grnd"]
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: to_number(c) for c in cols if c in df.columns})
+    present = df.columns
+    return df.withColumns({c: to_number(c) for c in cols if c in present})
 
 
 def coerce_date(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
@@ -64,39 +67,39 @@ def coerce_date(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
 
 def null_sentinels(df: DataFrame, cols: Sequence[str], values: Sequence[float]) -> DataFrame:
     """Sentinel values and NaN become null."""
-    return df.withColumns(
-        {c: F.when(~F.col(c).isin(*values) & ~F.isnan(c), F.col(c)) for c in cols if c in df.columns}
-    )
+    present, codes = df.columns, ", ".join(f"{v}D" for v in values)
+    return df.withColumns({
+        c: F.expr(f"if({quoted(c)} in ({codes}) or isnan({quoted(c)}), null, {quoted(c)})") for c in cols if c in present
+    })
 
 
 def flag_indicators(df: DataFrame, value_col: str, flag_col: str) -> DataFrame:
     """One 0/1 column per quality letter; no flag counts as no letter."""
-    if value_col not in df.columns or flag_col not in df.columns:
-        return df
-    return df.withColumns(
-        {
-            f"{value_col}_is_{meaning}": (F.coalesce(F.col(flag_col), F.lit("")) == letter).cast("byte")
-            for meaning, letter in FLAG_MEANINGS.items()
-        }
-    )
+    return all_flag_indicators(df, {value_col: flag_col})
+
+
+def all_flag_indicators(df: DataFrame, flags: Mapping[str, str]) -> DataFrame:
+    """``flag_indicators`` of every pair of a value and a flag column that is present."""
+    present = df.columns
+    return df.withColumns({
+        f"{value_col}_is_{meaning}": F.expr(f"tinyint(coalesce({quoted(flag_col)}, '') = '{letter}')")
+        for value_col, flag_col in flags.items() if value_col in present and flag_col in present
+        for meaning, letter in FLAG_MEANINGS.items()
+    })
 
 
 def zero_trace(df: DataFrame, value_cols: Sequence[str]) -> DataFrame:
     """A trace of precipitation counts as 0."""
-    return df.withColumns(
-        {
-            c: F.when(F.col(f"{c}_is_trace") == 1, F.lit(0.0)).otherwise(F.col(c))
-            for c in value_cols
-            if f"{c}_is_trace" in df.columns
-        }
-    )
+    present = df.columns
+    traced = [c for c in value_cols if f"{c}_is_trace" in present]
+    return df.withColumns({c: F.expr(f"if({quoted(c + '_is_trace')} = 1, 0D, {quoted(c)})") for c in traced})
 
 
 def range_check(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Values outside the closed interval become null and are marked in ``<column>_is_outlier``."""
-    checks = {}
+    checks, present = {}, df.columns
     for c, (low, high) in bounds.items():
-        if c not in df.columns:
+        if c not in present:
             continue
         outside = F.coalesce(~F.col(c).between(low, high), F.lit(False))
         checks[f"{c}_is_outlier"] = outside.cast("byte")
@@ -156,8 +159,7 @@ def clean_rows(raw: DataFrame, keep_flags: bool = False) -> DataFrame:
     df = coerce_numeric(df, WEATHER_NUMBERS)
     if "dir_of_max_gust_10s_deg" in df.columns:
         df = df.withColumn("dir_of_max_gust_deg", direction_degrees("dir_of_max_gust_10s_deg"))
-    for value_col, flag_col in WEATHER_FLAGS.items():
-        df = flag_indicators(df, value_col, flag_col)
+    df = all_flag_indicators(df, WEATHER_FLAGS)
     df = zero_trace(df, [c for c in WEATHER_FLAGS if any(part in c for part in TRACE_COLUMNS)])
     if "data_quality" in df.columns:
         df = df.withColumn("data_quality_has_mark", has_mark("data_quality"))

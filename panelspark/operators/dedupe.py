@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import null_safe, valid_count
+from panelspark.functions.scalars import null_safe, quoted, valid_count
 from panelspark.session import materialise
 
 
@@ -100,23 +100,23 @@ def _merge_repeated(df: DataFrame, key: Sequence[str], value_cols: Sequence[str]
     rank = F.struct("_blank", *order, *[c for c in others if c not in order])
     aggs = []
     for i, c in enumerate(value_cols):
-        aggs += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
+        aggs += [F.expr(f"{f}({quoted(c)}) as _{n}{i}") for f, n in (("count", "n"), ("min", "lo"), ("max", "hi"))]
     aggs.append(F.min(rank).alias("_best"))
     aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_fill{i}") for i, c in enumerate(others)]
     spots = range(len(value_cols))
-    differs = [F.col(f"_lo{i}") < F.col(f"_hi{i}") for i in spots]
-    crowded = [differs[i] & (F.col(f"_n{i}") > 2) for i in spots]
+    differs = ", ".join(f"_lo{i} < _hi{i}" for i in spots)
+    crowded = ", ".join(f"_lo{i} < _hi{i} and _n{i} > 2" for i in spots)
     merged = rows.groupBy(*key).agg(*aggs).withColumns({
-        "_conflict": F.exists(F.array(*differs), lambda d: d), "_many": F.exists(F.array(*crowded), lambda d: d),
+        "_conflict": F.expr(f"exists(array({differs}), d -> d)"), "_many": F.expr(f"exists(array({crowded}), d -> d)"),
     })
 
     merged = materialise(merged, "merged")
     names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     many = merged.where("_many").select(*names)
-    cell = [F.struct(F.lit(i).alias("_cell"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(value_cols)]
+    cell = ", ".join(f"named_struct('_cell', {i}, '_value', double({quoted(c)}))" for i, c in enumerate(value_cols))
     means = (
         df.join(many, null_safe(df, key, many), "left_semi")
-        .select(*key, F.explode(F.array(*cell)).alias("_x")).select(*key, "_x.*").where("_value is not null")
+        .select(*key, F.explode(F.expr(f"array({cell})")).alias("_x")).select(*key, "_x.*").where("_value is not null")
         .distinct()
         .groupBy(*key, "_cell").agg(F.avg("_value").alias("_mean"))
         .groupBy(*names)
@@ -129,13 +129,10 @@ def _merge_repeated(df: DataFrame, key: Sequence[str], value_cols: Sequence[str]
             columns.append(F.col(c))
         elif c in value_cols:
             i = list(value_cols).index(c)
-            low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-            value = (
-                F.when(low == high, low)
-                .when(F.col(f"_n{i}") == 2, (low + high) / 2)
-                .otherwise(F.try_element_at("_means", F.lit(i)))
-            )
-            columns.append(value.alias(c))
+            columns.append(F.expr(
+                f"case when _lo{i} = _hi{i} then _lo{i} when _n{i} = 2 then (_lo{i} + _hi{i}) / 2 "
+                f"else try_element_at(_means, {i}) end as {quoted(c)}"
+            ))
         else:
             best, fill = F.col("_best")[c], F.col(f"_fill{others.index(c)}")
             columns.append(F.when(F.col("_conflict"), F.coalesce(best, fill)).otherwise(best).alias(c))

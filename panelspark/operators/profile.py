@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import numeric_columns
-from panelspark.functions.scalars import pearson, valid_count
+from panelspark.functions.scalars import pearson, quoted, valid_count
 from panelspark.operators.ordering import exact_quantiles
 from panelspark.operators.windows import checked_days, series
 
@@ -21,7 +21,7 @@ QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def _null_rate(c: str) -> Column:
-    return F.avg(F.col(c).isNull().cast("int"))
+    return F.expr(f"avg(int({quoted(c)} is null)) as {quoted(c)}")
 
 
 def _null_count(cols: Sequence[str]) -> Column:
@@ -32,17 +32,18 @@ def missing_rates_by_entity(
     df: DataFrame, key: str, cols: Sequence[str], id_cols: Sequence[str] = (), order: Sequence[Column | str] = ()
 ) -> DataFrame:
     """Rows and null rate per column for each entity, with the first attribute that is not null."""
-    present = [c for c in cols if c in df.columns]
+    names = df.columns
+    present = [c for c in cols if c in names]
     if not present:
-        raise ValueError(f"none of {list(cols)} among columns {df.columns}")
-    ids = [c for c in id_cols if c in df.columns]
+        raise ValueError(f"none of {list(cols)} among columns {names}")
+    ids = [c for c in id_cols if c in names]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*(order or [c])))).alias(c) for c in ids]
-    rates = [_null_rate(c).alias(c) for c in present]
+    rates = [_null_rate(c) for c in present]
     return df.groupBy(key).agg(*first, F.count("*").alias("n_rows"), *rates).orderBy(F.desc("n_rows"), key)
 
 
 def missing_rates(df: DataFrame) -> DataFrame:
-    rates = df.agg(*[_null_rate(c).alias(c) for c in df.columns])
+    rates = df.agg(*[_null_rate(c) for c in df.columns])
     return rates.unpivot([], df.columns, "column", "missing_rate").orderBy(F.desc("missing_rate"), "column")
 
 

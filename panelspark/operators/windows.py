@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import cyclic_doy
+from panelspark.functions.scalars import cyclic_doy, quoted
 from panelspark.operators.ordering import before_rank, day_counts
 
 
@@ -36,20 +36,20 @@ def next_label(df: DataFrame, entity: str, date: str, value: str, name: str = "l
 
 
 def lag_columns(entity: str, date: str, lags: Mapping[str, Sequence[int]]) -> dict[str, Column]:
-    w = series(entity, date)
-    return {f"{c}_lag_{k}": F.lag(c, k).over(w) for c, ks in lags.items() for k in ks}
+    w = f"over (partition by {quoted(entity)} order by {quoted(date)})"
+    return {f"{c}_lag_{k}": F.expr(f"lag({quoted(c)}, {k}) {w}") for c, ks in lags.items() for k in ks}
 
 
 def rolling_columns(entity: str, date: str, windows: Mapping[str, Sequence[int]]) -> dict[str, Column]:
     """Mean and sample deviation over the last ``n`` rows, this one included, where all hold a value."""
-    w = series(entity, date)
     out = {}
     for c, sizes in windows.items():
         for n in sizes:
-            frame = w.rowsBetween(-(n - 1), 0)
-            full = F.count(c).over(frame) == n
-            out[f"{c}_roll_mean_{n}"] = F.when(full, F.avg(c).over(frame))
-            out[f"{c}_roll_std_{n}"] = F.when(full, F.stddev_samp(c).over(frame))
+            frame = f"over (partition by {quoted(entity)} order by {quoted(date)} rows {n - 1} preceding)"
+            for name, f in (("mean", "avg"), ("std", "stddev_samp")):
+                out[f"{c}_roll_{name}_{n}"] = F.expr(
+                    f"if(count({quoted(c)}) {frame} = {n}, {f}({quoted(c)}) {frame}, null)"
+                )
     return out
 
 

@@ -25,13 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded_value(value: Column | str, digits: int) -> Column:
-    """Rounded, so that sums taken in another order compare equal."""
-    return F.round(F.col(value) if isinstance(value, str) else value, digits) + F.lit(0.0)
-
-
 def rounded(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: rounded_value(c, digits) for c in cols})
+    """Round columns, so that sums taken in another order compare equal."""
+    return df.withColumns({c: F.expr(f"round(`{c}`, {digits}) + 0D") for c in cols})
 
 
 def cents(value: str) -> Column:

@@ -1,4 +1,4 @@
-"""The three paths from raw files to a forecast, each one lazy plan."""
+"""The paths from raw files to a forecast. Each composes lazily; only a table that several jobs read is written in between."""
 
 from __future__ import annotations
 

@@ -102,13 +102,15 @@ def read_block_report(
 
     def typed(name: str) -> Column:
         if name in hours:
-            return F.col("_numbers")[hours.index(name)]
+            return F.expr(f"_numbers[{hours.index(name)}] as {name}")
         found = F.nullif(F.col("_texts")[heads.index(name)], F.lit(""))
         if name == "Date":
-            return to_day(found)
-        return to_number(found).cast("long") if name == "Station ID" else found
+            found = to_day(found)
+        elif name == "Station ID":
+            found = to_number(found).cast("long")
+        return found.alias(name)
 
-    return read.select(*[typed(c).alias(c) for c in columns], year_from_path(F.col("file")).alias("year"))
+    return read.select(*[typed(c) for c in columns], year_from_path(F.col("file")).alias("year"))
 
 
 def report_preambles(spark: SparkSession, path: str | list[str]) -> DataFrame:
