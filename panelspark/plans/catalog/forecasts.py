@@ -176,7 +176,7 @@ t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY nation_id ORDER BY date) - 1 AS
 k AS (SELECT *, CAST(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
       ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM t WHERE i < n)
 SELECT nation_id, fold, """ + ", ".join(
-    f"ROUND(SUM({a} * {b})::DOUBLE, 6) AS {a}_{b}" for i, a in enumerate(PAIRS) for b in PAIRS[i:]
+    f"ROUND(SUM({a} * {b})::DOUBLE, 8) AS {a}_{b}" for i, a in enumerate(PAIRS) for b in PAIRS[i:]
 ) + " FROM k GROUP BY 1, 2")
 def fold_moments(spark, sf_dir):
     series = nation_series(spark, sf_dir).withColumn("value", F.col("value") / 100000)
@@ -189,7 +189,7 @@ def fold_moments(spark, sf_dir):
         for i, a in enumerate(PAIRS) for j in range(i, len(PAIRS))
     ]
     wide = sums.groupBy("nation_id", "fold").agg(*cells)
-    return rounded(wide, *wide.columns[2:], digits=6)
+    return rounded(wide, *wide.columns[2:], digits=8)
 
 
 @query("lasso_by_region")
