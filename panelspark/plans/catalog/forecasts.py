@@ -161,12 +161,13 @@ def nation_models(spark, sf_dir):
     return fit_lasso_by(nation_features(spark, sf_dir), "nation_id", "date", FEATURES, "label")
 
 
+# Prices are divided by a prime, so that no sum lies on the edge between two rounded values.
 PAIRS = ["one", "value", "past", "label"]
 
 
 @query("fold_moments", """
 WITH series AS (
-  SELECT o_custkey % 25 AS nation_id, CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) / 100000 AS value
+  SELECT o_custkey % 25 AS nation_id, CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) / 99991 AS value
   FROM orders GROUP BY 1, 2),
 f AS (SELECT *, 1 AS one, LAG(value) OVER w AS past, LEAD(value) OVER w AS label FROM series
       WINDOW w AS (PARTITION BY nation_id ORDER BY date)),
@@ -179,7 +180,7 @@ SELECT nation_id, fold, """ + ", ".join(
     f"ROUND(SUM({a} * {b})::DOUBLE, 8) AS {a}_{b}" for i, a in enumerate(PAIRS) for b in PAIRS[i:]
 ) + " FROM k GROUP BY 1, 2")
 def fold_moments(spark, sf_dir):
-    series = nation_series(spark, sf_dir).withColumn("value", F.col("value") / 100000)
+    series = nation_series(spark, sf_dir).withColumn("value", F.col("value") / 99991)
     lagged = add_lags(next_label(series, "nation_id", "date", "value"), "nation_id", "date", {"value": [1]})
     rows = time_split_by(lagged.dropna(), "nation_id", "date")
     train = number_folds(rows, "nation_id", "date", 5)
