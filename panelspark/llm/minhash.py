@@ -9,11 +9,13 @@ reaches the threshold, and links are closed to components.
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,7 @@ from panelspark.llm.textkit import mix64, shingles, slices, text_bytes, word_has
 from panelspark.session import materialise
 
 UNIVERSE_BITS = 20
+_WORDS = 8  # 64-bit words of a bitmap of the items by which a set differs from another
 _GATHER = 1 << 13  # shingles whose shifted permutation values are held at once
 
 
@@ -63,7 +66,7 @@ def _sets(batch: pa.RecordBatch, text: str, words: int) -> Iterator[np.ndarray]:
 def signatures(
     docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, seed: int
 ) -> DataFrame:
-    """Per document: number of shingles, identifier of the shingle set (null if empty) and its band keys."""
+    """Per document: a hash of its text, number of shingles, identifier of the set (null if empty), band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Circulant(bands * rows, rows, seed)
@@ -75,15 +78,17 @@ def signatures(
                 keys.append(maker.bands(items) if len(items) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                batch.column("id"), batch.column("tag"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
-            ], ["id", "n_shingles", "set_id", "bands"])
+            ], ["id", "tag", "n_shingles", "set_id", "bands"])
 
     schema = T.StructType([
-        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()),
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("tag", T.LongType()),
+        T.StructField("n_shingles", T.LongType()),
         T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, schema)
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -99,29 +104,75 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "set_id binary, items binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their whole sets."""
+def _bitmap(items: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * _WORDS, bool)
+    bits[(items % np.uint64(64 * _WORDS)).astype(np.intp)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with linked: 100 * intersection >= percent * union of their whole sets.
+
+    Besides, n is the size of b; plus counts a's items that b lacks, minus those of b that a lacks, and p0, p1, ...
+    and m0, m1, ... are bitmaps of these.
+    """
+    names = ["n", "plus", "minus", *[f"{k}{i}" for k in "pm" for i in range(_WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, rows = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = y[at] == x
+                more, less = x[~shared], np.delete(y, at[shared])
+                linked.append(100 * (len(x) - len(more)) >= percent * (len(y) + len(more)))
+                rows.append([len(y), len(more), len(less), *_bitmap(more), *_bitmap(less)])
+            columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *map(pa.array, columns)],
+                ["a", "b", "linked", *names])
 
-    fits = F.least(F.length("x"), F.length("y")) * 100 >= F.greatest(F.length("x"), F.length("y")) * percent
     return (
         pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
-        .where(fits).select("a", "b", "x", "y")
-        .mapInArrow(run, "a binary, b binary")
+        .select("a", "b", "x", "y")
+        .mapInArrow(run, "a binary, b binary, linked boolean, " + ", ".join(f"{n} long" for n in names))
+    )
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _compared(pairs, sets, percent).where("linked").select("a", "b")
+
+
+def _can_link(percent: int) -> Column:
+    """False only if two nodes, u and v, both compared with the same hub, cannot be similar enough.
+
+    Of the hub's items at most those are common that neither lacks, of the others those with common bits in both bitmaps
+    and, where several items share a bit, these.
+    """
+    def common(kind: str) -> Column:
+        bits = [F.bit_count(F.col(f"u.{kind}{i}").bitwiseAND(F.col(f"v.{kind}{i}"))).cast("long") for i in range(_WORDS)]
+        return reduce(operator.add, bits, F.least(f"u.{kind}_spare", f"v.{kind}_spare"))
+
+    least = percent * (F.col("u.size") + F.col("v.size"))
+    inner = F.col("u.n") - F.col("u.minus") - F.col("v.minus") + common("m") + common("p")
+    return (
+        ((100 + percent) * F.least("u.size", "v.size") >= least)
+        & ((F.col("u.hub") != F.col("v.hub")) | ((100 + percent) * inner >= least))
     )
 
 
+def _described(hubs: DataFrame) -> DataFrame:
+    """Compared pairs as (set_id, hub) with set_id's size and, per bitmap, the items that share a bit with another one."""
+    def spare(kind: str, count: str) -> Column:
+        return reduce(operator.sub, [F.bit_count(f"{kind}{i}").cast("long") for i in range(_WORDS)], F.col(count))
+
+    return hubs.drop("linked").withColumns({
+        "size": F.col("n") + F.col("plus") - F.col("minus"), "p_spare": spare("p", "plus"), "m_spare": spare("m", "minus"),
+    }).withColumnsRenamed({"a": "set_id", "b": "hub"})
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 75,
     bands: int = 40, rows: int = 4, seed: int = 7,
@@ -133,19 +184,53 @@ def near_duplicates(
     whether that is the row's own. Two sets at the threshold share no band with probability
     (1 - (percent / 100) ** rows) ** bands, 3e-7 by default.
 
-    Equal sets are one node from the start, so copies cost nothing more. In each band bucket every node is
-    compared with the bucket's first node; after these links are closed, only nodes of one bucket that are still
-    in different components are compared with each other. A null id is never a component's name unless all its ids are null
+    Equal sets are one node from the start, so copies cost nothing more. In each band bucket every node is compared
+    with the bucket's leader. After these links are closed, nodes of one bucket that are still in different components
+    are compared with each other, unless how both differ from a common leader rules a link out. A null id is never a component's name unless all its ids are null
     (component_id null, kept true); an empty or null text is alone; repeated rows share their component; other
     columns are not read; an empty table gives an empty one.
     """
+    found = _components(docs, id_col, text_col, words, percent, bands, rows, seed)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", _kept().alias("kept"))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One row of ``docs`` per component of ``near_duplicates``, with all its columns: the one with the least id.
+
+    Texts without words are each their own component. Where ids repeat, one of a component's rows with the least id stays;
+    of rows equal in id and text one stays, and without any id one of each text.
+    """
+    given = dict(words=5, percent=75, bands=40, rows=4, seed=7) | parameters
+    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("tag")).alias("alone")
+    chosen = _components(docs, id_col, text_col, **given).where(_kept()).groupBy("id", "component_id", alone).agg(
+        F.min("tag").alias("tag"), F.count("*").alias("n"))
+    chosen = materialise(chosen.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "n"), "kept")
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag"))
+    single = docs.join(chosen.where("n = 1").drop("n"), same, "left_semi")
+    several = docs.join(chosen.where("n > 1").drop("n"), same, "left_semi")
+    return single.union(several.dropDuplicates([id_col, text_col]))
+
+
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int, seed: int
+) -> DataFrame:
+    """(id, tag, n_shingles, component_id) for every row of ``docs``."""
     found = materialise(signatures(docs, id_col, text_col, words, bands, rows, seed), "signatures")
     nodes = materialise(
         found.where("set_id is not null").groupBy("set_id")
         .agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("set_id", F.explode("bands").alias("band"))
-    leaders = member.groupBy("band").agg(F.min("set_id").alias("leader"), F.count("*").alias("n"))
-    buckets = materialise(member.join(leaders.where("n > 1").drop("n"), "band"), "buckets")
+    sizes = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    member = materialise(member.join(sizes, "band"), "members")
+    # A bucket's leader is its node with most company over all bands: likely the text that the others vary.
+    company = member.groupBy("set_id").agg(F.sum("size").alias("company"))
+    leaders = member.join(company, "set_id").groupBy("band").agg(
+        F.max(F.struct("company", "set_id")).alias("top")).select("band", F.col("top.set_id").alias("leader"))
+    buckets = materialise(member.select("band", "set_id").join(leaders, "band"), "buckets")
 
     involved = buckets.select("set_id").distinct()  # holds the leaders too
     wanted = found.join(involved, "set_id", "left_semi").select(F.col("id").alias(id_col)).distinct()
@@ -153,35 +238,31 @@ def near_duplicates(
     texts = docs.select(id_col, F.col(text_col).alias("text")).alias("d").join(wanted.alias("w"), by_id, "left_semi")
     sets = materialise(_shingle_sets(texts, words).dropDuplicates(["set_id"]), "sets")
 
-    # Each node with the least leader of its buckets first: that settles most groups with one pair per node.
+    # Each node with the leader of most company in its buckets first: that settles most groups with one pair per node.
     stars = buckets.where("leader <> set_id")
-    first = stars.groupBy(F.col("set_id").alias("a")).agg(F.min("leader").alias("b"))
-    links = materialise(_confirmed(first, sets, percent), "links")
+    first = stars.join(company.toDF("leader", "company"), "leader").groupBy(F.col("set_id").alias("a")).agg(
+        F.max(F.struct("company", "leader")).alias("top")).select("a", F.col("top.leader").alias("b"))
+    hubs = materialise(_compared(first, sets, percent), "hubs")
+    links = hubs.where("linked").select("a", "b")
     label = components(links)
 
-    def labelled(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose ends are not known to be connected."""
-        mine = label.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        other = label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return (
-            pairs.join(mine, "a", "left").join(other, "b", "left")
-            .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-        )
-
-    rest = labelled(stars.select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct())
-    links = materialise(links.union(_confirmed(rest, sets, percent)), "links")
-    label = components(links)
+    # Then with the other leaders, unless that is known to change nothing.
+    mine, other = label.toDF("a", "ra"), label.toDF("b", "rb")
+    rest = stars.select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct().join(mine, "a", "left").join(
+        other, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = materialise(_confirmed(rest, sets, percent), "more")
+    if not more.isEmpty():
+        links = materialise(links.union(more), "links")
+        label = components(links)
 
-    # Buckets that still hold several components: their nodes other than the leader meet each other.
+    # Buckets that still hold several components: nodes other than the leader meet, if their hubs do not rule it out.
     named = stars.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "band", "set_id", F.coalesce("root", "set_id").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_ = materialise(named.join(mixed.select("band"), "band"), "open")
-    meeting = (
-        open_.select("band", F.col("set_id").alias("a"), F.col("root").alias("ra"))
-        .join(open_.select("band", F.col("set_id").alias("b"), F.col("root").alias("rb")), "band")
-        .where("ra < rb").select("a", "b").distinct()
-    )
+    open_ = materialise(named.join(mixed.select("band"), "band").join(_described(hubs), "set_id"), "open")
+    apart = (F.col("u.band") == F.col("v.band")) & (F.col("u.root") < F.col("v.root")) & _can_link(percent)
+    meeting = open_.alias("u").join(open_.alias("v"), apart).select(
+        F.col("u.set_id").alias("a"), F.col("v.set_id").alias("b")).distinct()
     more = materialise(_confirmed(meeting, sets, percent), "more")
     if not more.isEmpty():
         label = components(links.union(more))
@@ -192,9 +273,5 @@ def near_duplicates(
     grouped = named.join(lowest.where("size > 1"), "root").select("set_id", "component_id")
     return (
         found.drop("bands").join(grouped, "set_id", "left")
-        .select(
-            F.col("id").alias(id_col), "n_shingles",
-            F.coalesce("component_id", "id").alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+        .select("id", "tag", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     )
