@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,33 +51,36 @@ def _plain(name: str) -> str:
     return re.sub(r"[\s_]+", "", name).lower()
 
 
+def resolve(columns: Iterable[str], rules: Iterable[Callable[[str], bool]]) -> str | None:
+    """The first column, in table order, that meets the earliest rule any column meets."""
+    columns = list(columns)
+    return next((c for rule in rules for c in columns if rule(c)), None)
+
+
+def _same_as(names: Iterable[str], spelled: Callable[[str], str] = str) -> list[Callable[[str], bool]]:
+    return [lambda column, name=name: spelled(column) == spelled(name) for name in names]
+
+
 def pick_col(df: DataFrame, candidates: Sequence[str], required: bool = True) -> str | None:
     """First candidate present, ignoring case, blanks and underscores."""
-    known = {_plain(c): c for c in reversed(df.columns)}
-    for candidate in candidates:
-        if _plain(candidate) in known:
-            return known[_plain(candidate)]
-    if required:
+    found = resolve(df.columns, _same_as(candidates, _plain))
+    if found is None and required:
         raise ValueError(f"none of {list(candidates)} among columns {df.columns}")
-    return None
+    return found
 
 
 def date_column(df: DataFrame) -> str:
-    for name in DATE_NAMES:
-        if name in df.columns:
-            return name
-    for name in df.columns:
-        if name.strip().lower() == "date":
-            return name
-    raise KeyError(f"no date column among {df.columns}")
+    """A known date name, else any spelling of "date"."""
+    found = resolve(df.columns, [*_same_as(DATE_NAMES), lambda c: c.strip().lower() == "date"])
+    if found is None:
+        raise ValueError(f"no date column among {df.columns}")
+    return found
 
 
 def station_column(df: DataFrame) -> str | None:
     """A name holding both "station" and "id" wins; otherwise a known station name; otherwise none."""
-    for name in df.columns:
-        if "station" in name.lower() and "id" in name.lower():
-            return name
-    return next((name for name in STATION_NAMES if name in df.columns), None)
+    return resolve(df.columns, [lambda c: {"station", "id"} <= {w for w in ("station", "id") if w in c.lower()},
+                                *_same_as(STATION_NAMES)])
 
 
 def hour_columns(df: DataFrame) -> list[str]:
@@ -85,8 +88,7 @@ def hour_columns(df: DataFrame) -> list[str]:
 
 
 def region_feature(names: Iterable[str]) -> str | None:
-    by_lower = {n.lower(): n for n in names}
-    return next((by_lower[c] for c in REGION_NAMES if c in by_lower), None)
+    return resolve(names, _same_as(REGION_NAMES, str.lower))
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = (), exclude_containing: str | None = None) -> list[str]:

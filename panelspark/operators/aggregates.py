@@ -48,9 +48,9 @@ def region_day(
 
 
 def numeric_mean_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean of every numeric column, station columns apart, for rows that have the first key."""
+    """Mean of every numeric column, station columns apart, for rows that have all keys."""
     cols = numeric_columns(df, exclude=keys, exclude_containing="station")
-    return df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def mean_series(df: DataFrame, date: str, value: str, name: str = "mean") -> DataFrame:

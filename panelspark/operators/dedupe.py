@@ -78,22 +78,9 @@ def merge_key_duplicates(
     The other columns come from the row with most values, the earliest in ``order`` among equals; where a key is in
     conflict their nulls are filled from its further rows.
 
-    Rows alone on their key, the bulk of a feed, only meet the (narrow) list of repeated keys and are not
-    shuffled while that list is small. ``df`` is read more than once: hand in a stored table.
-    """
-    names = {f"_k{i}": F.col(k) for i, k in enumerate(key)}
-    repeated = df.groupBy(*[c.alias(n) for n, c in names.items()]).count().where("count > 1").drop("count")
-    solo = df.join(repeated, null_safe(df, key, repeated), "left_anti")
-    several = df.join(repeated, null_safe(df, key, repeated), "left_semi")
-    return solo.unionByName(_merge_repeated(several, key, value_cols, order))
-
-
-def _merge_repeated(df: DataFrame, key: Sequence[str], value_cols: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Merge rows of repeated keys.
-
     Smallest, largest and count per column settle every cell with at most two distinct values in one
-    combinable aggregate. Only the keys with a cell of three or more values are read again, as
-    (key, column, value) rows whose distinct values spread over the cluster.
+    combinable aggregate over all rows. Only the keys with a cell of three or more values are read again, as
+    (key, column, value) rows whose distinct values spread over the cluster: hand in a stored table.
     """
     others = [c for c in df.columns if c not in key and c not in value_cols]
     rows = df.withColumn("_blank", -valid_count(value_cols))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import as_col, clamp, pearson
 from panelspark.operators.ordering import exact_quantiles, ordered_index
-from panelspark.session import materialise
 
 EPSILON = 1e-6
 
@@ -31,6 +30,31 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFr
     ).drop("_fit")
 
 
+def fit_sequence_scaler(train: DataFrame, steps: str = "x") -> DataFrame:
+    """Per feature the mean and population deviation over all steps of all sequences; one row of two arrays.
+
+    A row of the panel counts once for every sequence that holds it. A feature without spread gets deviation 1.
+    """
+    cells = train.select(F.explode(steps).alias("_step")).select(F.posexplode("_step").alias("_feature", "_value"))
+    value = F.col("_value").cast("double")
+    spread = F.stddev_pop(value)
+    stats = cells.groupBy("_feature").agg(
+        F.avg(value).alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("std"))
+    ordered = F.array_sort(F.collect_list(F.struct("_feature", "mean", "std")))  # one entry per feature
+    return stats.agg(ordered.alias("_all")).select(F.col("_all.mean").alias("mean"), F.col("_all.std").alias("std"))
+
+
+def apply_sequence_scaler(df: DataFrame, stats: DataFrame, steps: str = "x") -> DataFrame:
+    fitted = df.withColumn("_fit", stats.select(F.struct("mean", "std")).scalar())
+
+    def scaled(step: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(step.alias("v"), F.col("_fit.mean").alias("m"), F.col("_fit.std").alias("s")),
+            lambda p: (p["v"] - p["m"]) / p["s"])
+
+    return fitted.withColumn(steps, F.transform(steps, scaled)).drop("_fit")
+
+
 def baselines(df: DataFrame, steps: str, feature: int) -> DataFrame:
     """Forecasts from each sequence alone: the last value of a feature, and its mean over the window."""
     values = F.transform(steps, lambda step: step[feature].cast("double"))
@@ -92,59 +116,46 @@ def weighted_l1(df: DataFrame, train: DataFrame, y: str, y_hat: str, alpha: floa
 
 
 def permutation_importance(
-    scored: DataFrame, models: DataFrame, entity: str, date: str, features: Sequence[str], y: str,
-    seed: int = 42, cap: int | None = None,
+    scored: DataFrame, models: DataFrame, entity: str, date: str, features: Sequence[str], y: str, seed: int = 42
 ) -> DataFrame:
     """Increase of the mean absolute error when one feature is exchanged between rows.
 
-    ``scored`` holds the test rows with ``y_hat``. The rows are put in a random order once; each feature is
-    then taken from the row a feature-specific distance further on, so no row keeps its own value and every
-    value is used once. The entity itself is exchanged in the same way, which exchanges the models. ``cap``
-    draws that many rows first; by default all are used.
+    ``scored`` holds the test rows with ``y_hat``. The rows are put in a random order once, by md5 of entity, day and seed,
+    and each row is given the values of the row a fixed distance further on, so that no row keeps its own and every
+    value is used once. The entity itself is exchanged in the same way, which exchanges the models.
     """
-    mixed = ordered_index(
-        scored, F.xxhash64(F.col(entity).cast("string"), F.col(date).cast("string"), F.lit(seed)), entity, date,
-        name="_row",
-    )
-    if cap is not None:
-        mixed = mixed.where(F.col("_row") < cap)
-    n = mixed.count()
-    names = [*features, entity]
-    step = {name: 1 + _draw(seed, i, n - 1) for i, name in enumerate(names)} if n > 1 else dict.fromkeys(names, 0)
+    place = F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.col(date).cast("string"), F.lit(str(seed))))
     x = F.array(*[F.col(c).cast("double") for c in features])
+    narrow = scored.select(
+        place.alias("_place"), entity, date, F.col(y).alias("_y"), "y_hat", x.alias("_x"))
+    rows = ordered_index(narrow, "_place", entity, date, name="_row").drop("_place", date)
+    n = rows.count()
+    step = exchange_distance(seed, n)
     fitted = models.select(entity, "intercept", "coef", "mean", "spread")
-    rows = materialise(mixed.select("_row", entity, F.col(y).alias("_y"), "y_hat", x.alias("_x")), "permuted")
-
-    numbers = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(step[c]).cast("long").alias("_by"))
-                        for i, c in enumerate(features)])
-    with_model = rows.join(fitted, entity)
-    wanted = with_model.withColumn("_n", F.explode(numbers)).select(
-        ((F.col("_row") + F.col("_n._by")) % n).alias("_from"), F.col("_n._f").alias("_f"), "_y", "y_hat",
-        F.element_at("_x", F.col("_n._f") + 1).alias("_own"),
-        (F.element_at("coef", F.col("_n._f") + 1) / F.element_at("spread", F.col("_n._f") + 1)).alias("_slope"),
-    )
-    given = rows.select(F.col("_row").alias("_from"), F.posexplode("_x").alias("_f", "_other"))
-    moved = wanted.join(given, ["_from", "_f"]).withColumn(
-        "_new", F.col("y_hat") + F.col("_slope") * (F.col("_other") - F.col("_own"))
-    )
-    base = F.avg(F.abs(F.col("_y") - F.col("y_hat")))
-    rise = (F.avg(F.abs(F.col("_y") - F.col("_new"))) - base).alias("mae_increase")
-    by_feature = moved.groupBy("_f").agg(rise)
-    labels = F.array(*[F.lit(c) for c in features])
-    by_feature = by_feature.select(F.element_at(labels, F.col("_f") + 1).alias("feature"), "mae_increase")
-
-    donors = rows.select(F.col("_row").alias("_from"), F.col(entity).alias("_donor"))
-    takers = rows.select(((F.col("_row") + step[entity]) % max(n, 1)).alias("_from"), "_y", "y_hat", "_x")
-    swapped = takers.join(donors, "_from").join(fitted.withColumnRenamed(entity, "_donor"), "_donor")
+    donors = rows.select(
+        ((F.col("_row") + (n - step)) % max(n, 1)).alias("_row"), F.col(entity).alias("_donor"), F.col("_x").alias("_other"))
+    theirs = fitted.select(
+        F.col(entity).alias("_donor"), F.struct("intercept", "coef", "mean", "spread").alias("_model"))
+    paired = rows.join(donors, "_row").join(fitted, entity).join(theirs, "_donor")
+    moved = F.transform(
+        F.arrays_zip(F.col("_other").alias("o"), F.col("_x").alias("x"), F.col("coef").alias("c"), F.col("spread").alias("s")),
+        lambda p: F.abs(F.col("_y") - F.col("y_hat") - p["c"] / p["s"] * (p["o"] - p["x"])))
     parts = F.transform(
-        F.arrays_zip("_x", "mean", "spread", "coef"),
-        lambda p: (p["_x"] - p["mean"]) / p["spread"] * p["coef"],
-    )
-    swapped = swapped.withColumn("_new", F.col("intercept") + F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
-    by_entity = swapped.agg(rise).select(F.lit(entity).alias("feature"), "mae_increase")
-    return by_feature.unionByName(by_entity).orderBy(F.desc("mae_increase"), "feature")
+        F.arrays_zip(F.col("_x").alias("x"), F.col("_model.mean").alias("m"), F.col("_model.spread").alias("s"),
+                     F.col("_model.coef").alias("c")),
+        lambda p: (p["x"] - p["m"]) / p["s"] * p["c"])
+    swapped = F.col("_model.intercept") + F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    errors = paired.select(
+        F.abs(F.col("_y") - F.col("y_hat")).alias("_base"),
+        F.concat(moved, F.array(F.abs(F.col("_y") - swapped))).alias("_new"))
+    names = [*features, entity]
+    rises = errors.agg(*[
+        F.struct(F.lit(name).alias("feature"), (F.avg(F.col("_new")[i]) - F.avg("_base")).alias("mae_increase")).alias(f"_{i}")
+        for i, name in enumerate(names)])
+    long = rises.select(F.inline(F.array(*[f"_{i}" for i in range(len(names))])))
+    return long.where("mae_increase is not null").orderBy(F.desc("mae_increase"), "feature")
 
 
-def _draw(seed: int, i: int, below: int) -> int:
-    """A fixed pseudo-random number in [0, below)."""
-    return zlib.crc32(f"{seed}:{i}".encode()) % below
+def exchange_distance(seed: int, n: int) -> int:
+    """How far on the exchanged values come from: a fixed pseudo-random number in [1, n)."""
+    return 1 + zlib.crc32(str(seed).encode()) % (n - 1) if n > 1 else 0

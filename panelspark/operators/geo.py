@@ -1,109 +1,101 @@
 """Nearest-site join on great-circle distance.
 
-Only distinct coordinates take part. The sites are cut along a Z-order curve into tiles of bounded size.
-Each point first finds, from the tiles' boxes alone, which tiles can hold its nearest site; an equi-join on
-the tile then compares it with the few sites of those tiles. No pair of far-apart places is ever formed.
+Only distinct coordinates take part. The sites are put into a tree of cells of the cube around the globe, so that neither
+the poles nor the date line are special. All points go down the tree together, one equi-join per level, and keep of
+each level only the cells whose box is no farther than the best site known by then; the few sites of the leaves
+that remain are compared. No pair of far-apart places is ever formed, and one path serves any number of sites.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import haversine_km, synthetic_id, to_number
 from panelspark.operators.dedupe import first_per_key
 from panelspark.session import materialise, spread
 
-MAX_TILES = 4096  # bounds the tile boxes that every task holds
-TILE_SITES = 32  # sites per tile while there are fewer than MAX_TILES tiles
-_BITS = 31  # resolution of the Z-order code per axis, about a centimetre
-
-
-def _spread(cell: Column) -> Column:
-    """Put a zero bit between the bits of a number."""
-    masks = {
-        16: 0x0000FFFF0000FFFF, 8: 0x00FF00FF00FF00FF, 4: 0x0F0F0F0F0F0F0F0F,
-        2: 0x3333333333333333, 1: 0x5555555555555555,
-    }
-    for shift, mask in masks.items():
-        cell = cell.bitwiseOR(F.shiftleft(cell, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return cell
-
-
-def z_order(lat: Column, lon: Column) -> Column:
-    side = (1 << _BITS) - 1
-    row = F.floor((lat + 90.0) / 180.0 * side).cast("long")
-    col = F.floor((lon + 180.0) / 360.0 * side).cast("long")
-    return F.shiftleft(_spread(row), 1).bitwiseOR(_spread(col))
-
-
-def _tiles(sites: DataFrame) -> DataFrame:
-    """Distinct site coordinates as rows of (tile, box, sites of the tile)."""
-    n_sites = sites.count()
-    wanted = min(MAX_TILES, max(1, n_sites // TILE_SITES))
-    coded = sites.withColumn("_z", z_order(F.col("lat"), F.col("lon")))
-    if wanted > 1:
-        cuts = coded.agg(
-            F.percentile_approx("_z", [i / wanted for i in range(1, wanted)], 100_000).alias("cuts")
-        ).first()["cuts"]
-        tile = _tile_number(sorted(set(cuts)))(F.col("_z"))
-    else:
-        tile = F.lit(0).cast("long")
-    site = F.struct("ord", "site_id", "region", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
-    return coded.groupBy(tile.alias("tile")).agg(
-        F.min("lat").alias("south"), F.max("lat").alias("north"),
-        F.min("lon").alias("west"), F.max("lon").alias("east"),
-        F.min(site).alias("one"), F.collect_list(site).alias("sites"),  # a tile is a fixed share of the sites
-    )
+LEAF_SITES = 32  # a cell with more sites is divided
+_STEP = 2  # halvings per axis from level to level: up to 64 parts, of which the globe meets 16 or so
+_DEEPEST = 20  # halvings of the last level, whose cells are some 12 metres wide
+_SLACK = 1e-7  # radians, well above what rounding does to angles; it only adds candidates
 
 
-def _tile_number(cuts: list[int]):
-    edges = np.array(cuts)
+def _unit(df: DataFrame) -> DataFrame:
+    """Add x, y, z on the unit globe."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return df.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
 
-    @F.pandas_udf("long")
-    def number(codes: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, codes.to_numpy(), side="right").astype("int64"))
 
-    return number
+def _cell(depth: int) -> Column:
+    """Number of the cube cell after ``depth`` halvings of every axis."""
+    side = 1 << depth
+    parts = [F.least(F.floor((F.col(c) + 1) / 2 * side), F.lit(side - 1)) for c in "xyz"]
+    return F.shiftleft(parts[0], 2 * depth).bitwiseOR(F.shiftleft(parts[1], depth)).bitwiseOR(parts[2])
 
 
-def _reachable(boxes: pd.DataFrame):
-    """Tiles that can hold the nearest site of a point: their box is no farther than the best known site."""
-    tile = boxes["tile"].to_numpy()
-    south, north, west, east, one_lat, one_lon = (
-        np.radians(boxes[c].to_numpy(dtype="float64"))
-        for c in ("south", "north", "west", "east", "one_lat", "one_lon")
-    )
+def _cells(sites: DataFrame, depth: int) -> DataFrame:
+    """One row per cell that holds sites: its parent, their number, the box around them and one of them."""
+    box = [f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))]
+    parent = _cell(max(depth - _STEP, 0))
+    return sites.groupBy(_cell(depth).alias("cell"), parent.alias("parent")).agg(
+        F.count("*").alias("n"), *box, F.min(F.struct("x", "y", "z")).alias("one"))
+
 
-    def meridian_gap(lat, lon, edge):
-        turn = np.abs((edge - lon + np.pi) % (2 * np.pi) - np.pi)
-        near = np.arcsin(np.clip(np.cos(lat) * np.sin(np.minimum(turn, np.pi / 2)), -1, 1))
-        return np.where(turn <= np.pi / 2, near, np.pi / 2 - np.abs(lat))
-
-    @F.pandas_udf("array<long>")
-    def reachable(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lats, lons in batches:
-            out = []
-            for start in range(0, len(lats), 256):
-                lat = np.radians(lats.to_numpy()[start:start + 256, None])
-                lon = np.radians(lons.to_numpy()[start:start + 256, None])
-                chord = (
-                    np.sin((one_lat - lat) / 2) ** 2
-                    + np.cos(lat) * np.cos(one_lat) * np.sin((one_lon - lon) / 2) ** 2
-                )
-                best = (2 * np.arcsin(np.sqrt(np.minimum(chord, 1)))).min(axis=1, keepdims=True)
-                by_lat = np.maximum(np.maximum(south - lat, lat - north), 0)
-                by_lon = np.minimum(meridian_gap(lat, lon, west), meridian_gap(lat, lon, east))
-                by_lon = np.where((west <= lon) & (lon <= east), 0, by_lon)
-                keep = np.maximum(by_lat, by_lon) <= best + 1e-9
-                out.extend(tile[row] for row in keep)
-            yield pd.Series(out, index=lats.index, dtype=object)
-
-    return reachable
+def _reach(prefix: str) -> dict[str, Column]:
+    """Angles from a point to a cell: at least ``near`` to any of its sites, ``best`` to its sample site.
+
+    The box alone bounds well from nearby, the distance to the sample less the cell's extent from the other side of
+    the globe, where chords hardly differ.
+    """
+    def norm(part) -> Column:
+        return F.sqrt(sum((part(c) ** 2 for c in "xyz"), F.lit(0.0)))
+
+    def angle(chord: Column) -> Column:
+        return 2 * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+    low, high = ({c: F.col(f"{prefix}{end}_{c}") for c in "xyz"} for end in ("low", "high"))
+    one = {c: F.col(f"{prefix}one")[c] for c in "xyz"}
+    best = 2 * F.atan2(norm(lambda c: F.col(c) - one[c]), norm(lambda c: F.col(c) + one[c]))
+    box = angle(norm(lambda c: F.greatest(low[c] - F.col(c), F.col(c) - high[c], F.lit(0.0))))
+    extent = angle(norm(lambda c: F.greatest(one[c] - low[c], high[c] - one[c])))
+    return {"near": F.greatest(box, best - extent), "best": best}
+
+
+def _candidates(spots: DataFrame, sites: DataFrame) -> DataFrame:
+    """(lat, lon, depth, cell) of the leaves that can hold the nearest site of each spot."""
+    spot = W.partitionBy("lat", "lon")
+    depth = 1
+    level = materialise(_cells(sites, depth), "cells")
+    roots = [r["cell"] for r in level.select("cell").orderBy("cell").collect()]  # 8 at most
+    if not roots:
+        raise ValueError("no site with region and coordinates")
+    rows = spots.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in roots])))
+    rows = rows.join(level.drop("parent"), "cell").withColumns({"depth": F.lit(depth), **_reach("")})
+
+    def pruned(df: DataFrame) -> DataFrame:
+        narrow = df.select("lat", "lon", "x", "y", "z", "depth", "cell", "n", "near", "best")
+        return narrow.withColumn("best", F.min("best").over(spot)).where(F.col("near") <= F.col("best") + _SLACK)
+
+    rows = pruned(rows)
+    while depth < _DEEPEST and level.where(F.col("n") > LEAF_SITES).count():
+        depth = min(depth + _STEP, _DEEPEST)
+        level = materialise(_cells(sites, depth), "cells")
+        parts = level.toDF(*[f"part_{c}" for c in level.columns])
+        inner = (F.col("n") > LEAF_SITES) & (F.col("cell") == F.col("part_parent"))
+        down = rows.join(parts, inner, "left")
+        leaf = F.col("part_cell").isNull()
+        new = _reach("part_")
+        rows = pruned(down.select(
+            "lat", "lon", "x", "y", "z", F.when(leaf, F.col("depth")).otherwise(depth).alias("depth"),
+            F.coalesce("part_cell", "cell").alias("cell"), F.coalesce("part_n", "n").alias("n"),
+            F.when(leaf, F.col("near")).otherwise(new["near"]).alias("near"),
+            F.least("best", new["best"]).alias("best"),
+        ))
+    return rows.select("lat", "lon", "depth", "cell")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, threshold_km: float = 75.0) -> DataFrame:
@@ -113,33 +105,26 @@ def nearest_site(points: DataFrame, sites: DataFrame, threshold_km: float = 75.0
     order. Of sites equally near, to within a micrometre, the first in source order wins.
     """
     places = points.where("point_id is not null and lat is not null and lon is not null")
-    spots = spread(places.select("lat", "lon").distinct(), F.xxhash64("lat", "lon"))
+    spots = _unit(spread(places.select("lat", "lon").distinct(), F.xxhash64("lat", "lon")))
     usable = sites.where("region is not null and lat is not null and lon is not null")
     row = F.struct("ord", "site_id", "region")
     unique = usable.groupBy("lat", "lon").agg(F.min_by(row, "ord").alias("_s")).select("_s.*", "lat", "lon")
-    tiles = materialise(_tiles(unique), "tiles")
-    boxes = (
-        tiles.select("tile", "south", "north", "west", "east", "one.site_lat", "one.site_lon")
-        .withColumnsRenamed({"site_lat": "one_lat", "site_lon": "one_lon"})
-        .toPandas()  # at most MAX_TILES rows
-    )
-    if boxes.empty:
-        raise ValueError("no site with region and coordinates")
-    if len(boxes) == 1:
-        candidates = spots.withColumn("tile", F.lit(int(boxes["tile"][0])))
-    else:
-        candidates = spots.withColumn("tile", F.explode(_reachable(boxes)("lat", "lon")))
-    with_sites = candidates.join(tiles.select("tile", "sites"), "tile")
-    nearest_in_tile = F.array_min(
-        F.transform(
-            "sites",
-            lambda s: F.struct(
-                F.round(haversine_km(F.col("lat"), F.col("lon"), s["site_lat"], s["site_lon"]), 9).alias("km"),
-                s["ord"].alias("ord"), s["site_id"].alias("site_id"), s["region"].alias("region"),
-            ),
-        )
-    )
-    best = with_sites.groupBy("lat", "lon").agg(F.min(nearest_in_tile).alias("_b"))
+    unique = materialise(_unit(unique), "sites")
+    leaves = materialise(_candidates(spots, unique), "leaves")
+
+    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon")), 9)
+    placed = unique.withColumnsRenamed({"lat": "site_lat", "lon": "site_lon"})
+    depths = [r["depth"] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # one per level
+    near = None
+    for depth in depths:
+        at_depth = placed.select(_cell(depth).alias("cell"), "ord", "site_id", "region", "site_lat", "site_lon")
+        part = leaves.where(F.col("depth") == depth).join(at_depth, "cell").select(
+            "lat", "lon", F.struct(km.alias("km"), "ord", "site_id", "region").alias("_s"))
+        near = part if near is None else near.union(part)
+    if near is None:
+        near = places.select("lat", "lon").limit(0).withColumn(
+            "_s", F.struct(F.lit(0.0).alias("km"), *[F.lit(None).cast(sites.schema[c].dataType).alias(c) for c in ("ord", "site_id", "region")]))
+    best = near.groupBy("lat", "lon").agg(F.min("_s").alias("_b"))
     within = F.col("_b")["km"] <= threshold_km
     return places.join(best, ["lat", "lon"]).select(
         "point_id", "lat", "lon",
@@ -173,12 +158,15 @@ def farthest(nearest: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def station_coordinates(df: DataFrame, lat: str, lon: str, station: str | None) -> DataFrame:
-    """One coordinate pair per station; without a station column, an id made from the coordinates."""
-
+def station_coordinates(
+    df: DataFrame, lat: str, lon: str, station: str | None, order: Sequence[Column | str]
+) -> DataFrame:
+    """The first coordinate pair per station in ``order``, the source's; without a station column, every pair with an
+    id made from it."""
     placed = df.withColumns({"lat": to_number(lat), "lon": to_number(lon)}).dropna(subset=["lat", "lon"])
     if station is None:
         unique = placed.select("lat", "lon").distinct()
         return unique.select(synthetic_id("lat", "lon").alias("weather_station_id"), "lat", "lon")
-    ids = placed.select(F.col(station).alias("weather_station_id"), "lat", "lon")
-    return first_per_key(ids, ["weather_station_id"])
+    ranks = {f"_order{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)}
+    ids = placed.select(F.col(station).alias("weather_station_id"), "lat", "lon", *[c.alias(n) for n, c in ranks.items()])
+    return first_per_key(ids, ["weather_station_id"], list(ranks)).drop(*ranks)

@@ -20,23 +20,23 @@ def attach_station_meta(df: DataFrame, stations: DataFrame, key: str = "station_
 
 
 def region_lookup(
-    lookup: DataFrame, key: str, region: str, order: Sequence[Column | str] = ()
+    lookup: DataFrame, key: str, region: str, order: Sequence[Column | str]
 ) -> DataFrame:
-    """Lookup with trimmed names, no null ids, and the first row per id in ``order``."""
+    """Lookup with trimmed names, no null ids, and the first row per id in ``order``, that of the source."""
     named = lookup.where(F.col(key).isNotNull()).withColumn(region, F.trim(region))
     return first_per_key(named, [key], order).select(key, region)
 
 
 def attach_station_region(
-    stations: DataFrame, lookup: DataFrame, key: str = "station_id", region: str = "region",
-    order: Sequence[Column | str] = (),
+    stations: DataFrame, lookup: DataFrame, key: str = "station_id", region: str = "region", *,
+    order: Sequence[Column | str],
 ) -> DataFrame:
     return stations.join(region_lookup(lookup, key, region, order), key, "left")
 
 
 def fill_region(
-    df: DataFrame, lookup: DataFrame, key: str = "station_id", region: str = "region",
-    order: Sequence[Column | str] = (),
+    df: DataFrame, lookup: DataFrame, key: str = "station_id", region: str = "region", *,
+    order: Sequence[Column | str],
 ) -> DataFrame:
     """Keep the region a row has; otherwise take it from the lookup."""
     found = region_lookup(lookup, key, region, order).withColumnRenamed(region, "_found")
@@ -63,11 +63,11 @@ def attach_region_by_site(
     weather: DataFrame, nearest: DataFrame, station: str = "station_id", point: str = "point_id"
 ) -> DataFrame:
     """Left join of readings to the nearest-site lookup on ids of any spelling (3920, '3920.0')."""
-    ids = nearest.select(
-        F.col(point).try_cast("double").cast("long").cast("string").alias("_id"),
-        F.col("assigned_region").alias("region"),
-    )
-    keyed = weather.withColumn(station, F.col(station).try_cast("double").cast("long").cast("string"))
+    def whole(name: str) -> Column:  # exact to 38 digits, where a double would confuse ids over 2 ** 53
+        return F.col(name).cast("string").try_cast("decimal(38,6)").cast("decimal(38,0)").cast("string")
+
+    ids = nearest.select(whole(point).alias("_id"), F.col("assigned_region").alias("region"))
+    keyed = weather.withColumn(station, whole(station))
     return keyed.join(ids, keyed[station] == ids["_id"], "left").drop("_id")
 
 

@@ -83,10 +83,15 @@ def distribution_summary(df: DataFrame, value: str) -> DataFrame:
 
 
 def series_summary(daily: DataFrame, value: str) -> DataFrame:
-    """``distribution_summary`` of a series with one row per day, which one aggregate can hold."""
-    quantiles = F.percentile(value, list(QUANTILES.values()))
-    one_row = daily.agg(*_summary(daily, value), quantiles.alias("_q"))
-    return one_row.withColumns({name: F.col("_q")[i] for i, name in enumerate(QUANTILES)}).drop("_q")
+    """``distribution_summary`` of a daily series."""
+    return distribution_summary(daily, value)
+
+
+def describe(df: DataFrame, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles, the quartiles exact."""
+    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75])
+    named = {name: F.lit(q).cast("double") for name, q in zip(("p25", "p50", "p75"), quartiles)}
+    return df.agg(*_summary(df, value)).withColumns(named)
 
 
 def describe_adjusted(df: DataFrame, value: str) -> DataFrame:

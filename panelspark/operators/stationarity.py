@@ -23,6 +23,8 @@ TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
 SMALL_P = [2.1659, 1.4412, 0.038269]
 LARGE_P = [1.7339, 0.93202, -0.12745, -0.010368]
 
+RESULT = ["adf_statistic", "p_value", "used_lag", "n_obs"]
+
 
 def mackinnon_p(tau: float) -> float:
     if tau > TAU_MAX:
@@ -40,11 +42,18 @@ def longest_lag(n: int) -> int:
 
 
 def _regress(m: np.ndarray, lags: int) -> tuple[float, float, float]:
-    """Log-likelihood, t statistic of the level, and number of rows. Columns: 1, change, level, past changes."""
+    """Log-likelihood, t statistic of the level, and number of rows. Columns: 1, change, level, past changes.
+
+    Fails with LinAlgError or ValueError where the rows do not determine the fit.
+    """
     at = [0, 2, *range(3, 3 + lags)]
     gram, cross, n = m[np.ix_(at, at)], m[at, 1], m[0, 0]
+    if n <= len(at):
+        raise ValueError("too few rows")
     coef = np.linalg.solve(gram, cross)
     rss = m[1, 1] - cross @ coef
+    if rss <= 1e-12 * m[1, 1]:
+        raise ValueError("nothing is left to explain")
     variance = rss / (n - len(at))
     t = coef[1] / math.sqrt(variance * np.linalg.inv(gram)[1, 1])
     likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
@@ -52,7 +61,11 @@ def _regress(m: np.ndarray, lags: int) -> tuple[float, float, float]:
 
 
 def adf_test(daily: DataFrame, key: str, date: str, value: str, max_lag: int | None = None) -> DataFrame:
-    """Statistic, p-value, lag order and rows used, per series."""
+    """Statistic, p-value, lag order and rows used, per series.
+
+    A series that cannot be tested (constant, too short, exactly linear) has null for these but n_obs, its rows
+    with a predecessor.
+    """
     present = daily.where(F.col(value).isNotNull())
     if max_lag is None:
         longest = present.groupBy(key).count().agg(F.max("count")).first()[0] or 0
@@ -73,15 +86,20 @@ def adf_test(daily: DataFrame, key: str, date: str, value: str, max_lag: int | N
         top = min(max_lag, longest_lag(int(n)))
         sample = {lags: sum((m for has, m in by_has.items() if has >= lags), np.zeros((max_lag + 3,) * 2))
                   for lags in range(top + 1)}
-        scores = {lags: -2 * _regress(sample[top], lags)[0] + 2 * (lags + 2) for lags in range(top + 1)}
-        best = min(scores, key=lambda lags: (scores[lags], lags))
-        _, t, rows_used = _regress(sample[best], best)
-        return pd.DataFrame({
-            key: [part[key].iloc[0]], "adf_statistic": [t], "p_value": [mackinnon_p(t)],
-            "used_lag": [best], "n_obs": [int(rows_used)],
-        })
+        try:
+            scores = {lags: -2 * _regress(sample[top], lags)[0] + 2 * (lags + 2) for lags in range(top + 1)}
+            best = min(scores, key=lambda lags: (scores[lags], lags))
+            _, t, rows_used = _regress(sample[best], best)
+            found = [t, mackinnon_p(t), best, int(rows_used)]
+        except (np.linalg.LinAlgError, ValueError):
+            found = [None, None, None, int(n) - 1]
+        return pd.DataFrame([[part[key].iloc[0], *found]], columns=[key, *RESULT], dtype=object)
 
     key_type = daily.schema[key].dataType.simpleString()
-    return spread(sums, key).groupBy(key).applyInPandas(  # (max_lag + 1) x (max_lag + 3) rows of moments per series
+    tested = spread(sums, key).groupBy(key).applyInPandas(  # (max_lag + 1) x (max_lag + 3) rows of moments per series
         test, f"`{key}` {key_type}, adf_statistic double, p_value double, used_lag int, n_obs long"
     )
+    every = daily.select(F.col(key).alias("_key")).distinct()  # a series of one row has no moments
+    same = F.col("_key").eqNullSafe(tested[key])
+    return every.join(tested, same, "left").select(
+        F.col("_key").alias(key), *RESULT[:3], F.coalesce("n_obs", F.lit(0).cast("long")).alias("n_obs"))

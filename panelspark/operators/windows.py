@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import cyclic_doy, quoted
 from panelspark.operators.ordering import before_rank, day_counts
+from panelspark.session import materialise
 
 
 def series(entity: str, date: str):
@@ -121,14 +122,17 @@ def time_split_by(df: DataFrame, entity: str, date: str, frac: float = 0.8) -> D
 def time_split(df: DataFrame, date: str, tie: str, frac: float = 0.8, valid_frac: float = 0.0) -> DataFrame:
     """Split the whole table in time: train, the last part of train for validation, test.
 
-    The cut is found from counts per day, so the rows themselves are only filtered, never sorted or moved.
+    Rows without a day have no place in time and are left out. The cuts are found from a stored copy of the two
+    order columns and its counts per day, so the rows themselves are only filtered, never sorted or moved.
     """
-    days = day_counts(df, date)
+    df = df.where(F.col(date).isNotNull())
+    places = materialise(df.select(date, tie), "places")
+    days = day_counts(places, date)
     n_train = int(sum(count for _, count in days) * frac)
-    in_train = before_rank(df, date, tie, days, n_train)
+    in_train = before_rank(places, date, tie, days, n_train)
     if valid_frac:
         n_fit = n_train - max(int(valid_frac * n_train), 1)
-        in_fit = before_rank(df, date, tie, days, n_fit)
+        in_fit = before_rank(places, date, tie, days, n_fit)
         train = F.when(in_fit, F.lit("fit")).when(in_train, F.lit("valid"))
     else:
         train = F.when(in_train, F.lit("train"))

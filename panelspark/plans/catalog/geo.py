@@ -105,4 +105,4 @@ WITH p AS (SELECT DISTINCT 42 + (c_custkey * 37 % 1000) / 100.0::DOUBLE AS lat,
 SELECT 'lat' || ROUND(lat, 5) || '_lon' || ROUND(lon, 5) AS weather_station_id, lat, lon FROM p
 """)
 def synthetic_id_query(spark, sf_dir):
-    return station_coordinates(customer_points(spark, sf_dir), "lat", "lon", None)
+    return station_coordinates(customer_points(spark, sf_dir), "lat", "lon", None, [])

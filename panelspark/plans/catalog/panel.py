@@ -42,7 +42,7 @@ def region_day_mean(spark, sf_dir):
     station = station_day_from_readings(
         readings(spark, sf_dir), ["user_id", "date"], F.col("hour"), "value", min_hours=MIN_HOURS
     )
-    mapped = fill_region(station.withColumn("nation_id", F.col("user_id") % 25), regions(spark, sf_dir), "nation_id")
+    mapped = fill_region(station.withColumn("nation_id", F.col("user_id") % 25), regions(spark, sf_dir), "nation_id", order=["nation_id"])
     return rounded(region_day(mapped, "date", "region", "user_id", "daily_mean"), "region_daily_mean")
 
 
@@ -101,7 +101,7 @@ FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c.c_
 def lookup_region(spark, sf_dir):
     lookup = partial_lookup(spark, sf_dir).withColumnRenamed("n_nationkey", "c_nationkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return attach_station_region(customers, lookup, "c_nationkey").select("c_custkey", "c_nationkey", "region")
+    return attach_station_region(customers, lookup, "c_nationkey", order=["c_nationkey"]).select("c_custkey", "c_nationkey", "region")
 
 
 @query("lookup_fill", """
@@ -114,7 +114,7 @@ def lookup_fill(spark, sf_dir):
         "c_custkey", "c_nationkey", F.when(F.col("c_acctbal") < 0, "OWN").alias("region")
     )
     lookup = partial_lookup(spark, sf_dir).withColumnRenamed("n_nationkey", "c_nationkey")
-    return fill_region(customers, lookup, "c_nationkey")
+    return fill_region(customers, lookup, "c_nationkey", order=["c_nationkey"])
 
 
 @query("unmapped_keys", """

@@ -52,7 +52,8 @@ SELECT DISTINCT user_id + 1000 AS station_id, 'User ' || user_id AS station_name
        -(user_id % 7 + 79.25::DOUBLE) AS longitude FROM events
 """)
 def station_meta(spark, sf_dir):
-    return extract_station_meta(report_preambles(spark, write_reports(spark, sf_dir)))
+    meta = extract_station_meta(report_preambles(spark, write_reports(spark, sf_dir)))
+    return meta.select("station_id", "station_name", "latitude", "longitude")
 
 
 @query("reports_to_region_day", f"""
@@ -69,7 +70,7 @@ def reports_to_region_day(spark, sf_dir):
         (F.col("user_id") + 1000).alias("station_id"), "region"
     )
     hourly = hourly_table(spark, write_reports(spark, sf_dir))
-    return rounded(region_day_pm(hourly, lookup, MIN_HOURS), "pm25_region_daily_avg")
+    return rounded(region_day_pm(hourly, lookup, MIN_HOURS, lookup_order=["station_id"]), "pm25_region_daily_avg")
 
 
 @query("weather_to_region_day", f"""

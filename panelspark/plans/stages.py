@@ -52,17 +52,24 @@ STUDY_START, STUDY_END = "2020-01-01", "2024-12-31"
 PM = "pm25_region_daily_avg"
 LABEL = "pm25_label"
 
+# Columns of a featured panel that are no predictors.
+NOT_PREDICTORS = ["date", "region", "longitude_x", "latitude_x", "longitude_y", "latitude_y", LABEL]
 
-def hourly_table(spark: SparkSession, reports: str | list[str], lookup: DataFrame | None = None, keep_year: bool = False) -> DataFrame:
+
+def hourly_table(
+    spark: SparkSession, reports: str | list[str], lookup: DataFrame | None = None, keep_year: bool = False, *,
+    lookup_order: Sequence[str] = (),
+) -> DataFrame:
     """Report files to one row per station, pollutant and day with 24 hours and the station's attributes.
 
-    ``lookup`` has (station_id, region).
+    ``lookup`` has (station_id, region) and the columns of ``lookup_order``, its source order: of several rows of a
+    station the first counts. Of several preambles of a station that of the first file and block counts.
     """
     readings = rename_roles(read_block_report(spark, reports), {"Station ID": "station_id"})
     meta = extract_station_meta(report_preambles(spark, reports))
-    stations = first_per_key(meta, ["station_id"])
+    stations = first_per_key(meta, ["station_id"], ["file", "block", "place"]).drop("file", "block", "place")
     if lookup is not None:
-        stations = attach_station_region(stations, lookup)
+        stations = attach_station_region(stations, lookup, order=lookup_order)
     joined = null_sentinels(attach_station_meta(readings, stations), HOURS, MISSING_CODES)
     # Equal rows need no step of their own: they add no distinct value to their key.
     merged = merge_key_duplicates(materialise(joined, "hourly"), KEY, HOURS)
@@ -70,19 +77,19 @@ def hourly_table(spark: SparkSession, reports: str | list[str], lookup: DataFram
     return reorder(out, [*KEY, "station_name", "region", "latitude", "longitude"], HOURS)
 
 
-def region_day_pm(hourly: DataFrame, lookup: DataFrame, min_hours: int = 0) -> DataFrame:
-    """Hourly table to the mean per region and day."""
-    mapped = fill_region(hourly, lookup)
+def region_day_pm(hourly: DataFrame, lookup: DataFrame, min_hours: int = 0, *, lookup_order: Sequence[str]) -> DataFrame:
+    """Hourly table to the mean per region and day; ``lookup`` as for ``hourly_table``."""
+    mapped = fill_region(hourly, lookup, order=lookup_order)
     daily = station_day(mapped, min_hours, name="pm25_daily_avg")
     return region_day(daily, "Date", "region", "station_id", "pm25_daily_avg", PM)
 
 
 def region_day_weather(
-    raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0, order: Sequence[str] = ()
+    raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0, *, order: Sequence[str]
 ) -> DataFrame:
-    """Raw daily weather to the mean of every numeric column per region and day."""
-    clean = clean_weather(raw, order)
-    points = station_coordinates(clean, "latitude_y", "longitude_x", station_column(clean))
+    """Raw daily weather to the mean of every numeric column per region and day; ``order`` is the source's."""
+    clean = materialise(clean_weather(raw, order), "clean-weather")
+    points = station_coordinates(clean, "latitude_y", "longitude_x", station_column(clean), order)
     nearest = nearest_site(points.withColumnRenamed("weather_station_id", "point_id"), sites, threshold_km)
     return numeric_mean_by(attach_region_by_site(clean, nearest), ["region", "date"])
 
@@ -93,7 +100,7 @@ def joined_panel(pm: DataFrame, weather: DataFrame, how: str = "inner") -> DataF
 
 def imputed_panel(panel: DataFrame, dropped: Sequence[str] = DROPPED_REGIONS) -> DataFrame:
     """Pruned panel with bounded gaps filled; the target is never imputed."""
-    kept = fill_zero(prune_panel(panel, dropped), ZERO_FILLED)
+    kept = fill_zero(prune_panel(materialise(panel, "panel"), dropped), ZERO_FILLED)
     return ffill(interpolate_forward(kept, "region", "date", INTERPOLATED), "region", "date", REPEATED)
 
 
@@ -114,5 +121,4 @@ def model_features(panel: DataFrame, numeric: Mapping[str, str] | None = None) -
     """Numeric predictors of a featured panel: no coordinates, label or keys."""
     names = numeric or dict(panel.dtypes)
     plain = ("double", "float", "int", "bigint", "smallint", "tinyint")
-    left_out = {"date", "region", "longitude_x", "latitude_x", "longitude_y", "latitude_y", LABEL}
-    return [c for c, t in names.items() if t in plain and c not in left_out]
+    return [c for c, t in names.items() if t in plain and c not in NOT_PREDICTORS]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +42,20 @@ def read_tagged(
 ) -> DataFrame:
     """All files of a glob as one table with the station id and year taken from each path.
 
-    Only files that exist are listed, and files whose header differs from the first one's are refused.
+    Columns are matched by name: the headers are read first, files with the same one are scanned together, and a column
+    that a file lacks is null there. Only files that exist are listed.
     """
-    table = read_table(spark, paths)
+    lines = spark.read.text(paths).select(source_path().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id()).groupBy("file").agg(
+        F.min_by("value", "line").alias("header"))
+    kinds = first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()  # a path per file
+    if not kinds:
+        raise FileNotFoundError(f"no file with a header in {paths}")
+    parts = [read_table(spark, [unquote(f) for f in sorted(kind["files"])]) for kind in kinds]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_tagged(t, id_pattern, year_pattern) for t in parts])
+
+
+def _tagged(table: DataFrame, id_pattern: str, year_pattern: str) -> DataFrame:
     return table.withColumns(
         {
             "station_id": from_path(source_path(), id_pattern, "station id"),
@@ -81,7 +94,7 @@ def first_existing(spark: SparkSession, paths: Sequence[str], fmt: str = "csv")
             raise
         try:
             date = date_column(table)
-        except KeyError:
+        except ValueError:
             return table
         return table.withColumn(date, to_day(date))
     raise FileNotFoundError(f"none of {list(paths)} exists")

@@ -6,14 +6,16 @@ is scanned on its own and what it starts with is carried over from the splits be
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import to_day, to_number
 from panelspark.operators.aggregates import HOURS
+from panelspark.session import materialise
 from panelspark.sources.files import source_path, year_from_path
 
 # How a block starts, how a data line starts, the missing-hour code, the columns of a block.
@@ -44,59 +46,78 @@ def _is_data() -> Column:
     return F.col("value").rlike(DATA_LINE)
 
 
-def _with_state(lines: DataFrame, marker: Column, fold, carry, back: bool = False) -> DataFrame:
-    """Fold the markers up to each line: ``_here`` over its split, ``_in`` over the splits of the file before it.
+def _arriving(lines: DataFrame, marker: Column, fold, carry) -> DataFrame:
+    """(file, split, _in): what the markers of the splits before each split of a file fold to, one row per split."""
+    others = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    per_split = lines.withColumn("_marker", marker).groupBy("file", "split").agg(carry.alias("_out"))
+    return per_split.withColumn("_in", fold(F.col("_out")).over(others)).drop("_out")
 
-    With ``back`` the file is read from its end.
+
+def _places(names: Column, wanted: Sequence[str]) -> Column:
+    return F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_position(names, c).cast("int"))
+
+
+def _with_headers(lines: DataFrame, heads: Sequence[str], hours: Sequence[str]) -> DataFrame:
+    """Data lines as (file, split, value, heads, hours): where their block's header has the wanted columns.
+
+    Both are empty after a closed block, and null before the first marker of a split. A scan hands a split's lines on in
+    order, so the state runs along with the lines and nothing is shuffled.
     """
-    marked = lines.withColumn("_marker", marker)
-    line, split = (F.desc("line"), F.desc("split")) if back else (F.col("line"), F.col("split"))
-    in_split = W.partitionBy("file", "split").orderBy(line).rowsBetween(W.unboundedPreceding, W.currentRow)
-    others = W.partitionBy("file").orderBy(split).rowsBetween(W.unboundedPreceding, -1)
-    per_split = marked.groupBy("file", "split").agg(carry.alias("_out"))
-    arriving = per_split.withColumn("_in", fold(F.col("_out")).over(others)).drop("_out")
-    return marked.withColumn("_here", fold(F.col("_marker")).over(in_split)).join(arriving, ["file", "split"])
+
+    def places(header: str) -> tuple[list[int], list[int]]:
+        names = [n for n in (part.strip(" ") for part in header.split(",")) if n]
+        return tuple([names.index(c) + 1 if c in names else 0 for c in wanted] for wanted in (heads, hours))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state = None, (None, None)
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, (file, split, kind, value) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if here != (file, split):
+                    here, state = (file, split), (None, None)
+                if kind == "data":
+                    rows.append((i, *state))
+                else:
+                    state = places(value) if kind == "header" else ([], [])
+            kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("file"), kept.column("split"), kept.column("value"),
+                 *[pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2)]],
+                ["file", "split", "value", "heads", "hours"])
+
+    kind = F.when(_is_header(), "header").when(_is_data(), "data").otherwise("end")
+    marked = lines.where(F.trim("value") != "").select("file", "split", kind.alias("kind"), "value")
+    return marked.mapInArrow(run, "file string, split long, value string, heads array<int>, hours array<int>")
 
 
 def read_block_report(
-    spark: SparkSession, path: str | list[str], columns: Sequence[str] = REPORT_COLUMNS, keep_unclosed: bool = True
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] = REPORT_COLUMNS
 ) -> DataFrame:
     """The data lines of all blocks, columns by the names in their block's header.
 
-    A block runs from its header to the next line that is neither data nor blank, or to the end of the file.
-    Rows directly followed by a further header are kept unless ``keep_unclosed`` is false.
+    A block runs from its header to the next line that is neither data nor blank, or to the end of the file; rows directly
+    followed by a further header count. Lines are not shuffled: only one row per split, its last marker, is.
     """
     lines = report_lines(spark, path)
-    closes = ~_is_data() & (F.trim("value") != "")
-    if not keep_unclosed:
-        ends = F.when(closes, _is_header())
-        first = F.min_by("_marker", F.when(F.col("_marker").isNotNull(), F.col("line")))
-        seen = _with_state(lines, ends, lambda m: F.last(m, ignorenulls=True), first, back=True)
-        lost = _is_data() & F.coalesce(F.col("_here"), F.col("_in"), F.lit(False))
-        lines = seen.where(~lost).select("file", "split", "line", "value")
-    names = F.filter(F.transform(F.split("value", ","), lambda n: F.trim(n)), lambda n: n != "")
     hours = [c for c in columns if c in HOURS]
     heads = [c for c in columns if c not in HOURS]
-
-    def places(wanted: Sequence[str]) -> Column:
-        return F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_position(names, c).cast("int"))
-
-    opened = F.struct(places(heads).alias("heads"), places(hours).alias("hours"))  # where each column stands
-    closed = F.from_json(F.lit("{}"), "heads array<int>, hours array<int>")
-    marker = F.when(_is_header(), opened).when(closes, closed)
+    closes = ~_is_data() & (F.trim("value") != "")
+    marker = F.when(_is_header(), F.col("value")).when(closes, F.lit(""))
     last = F.max_by("_marker", F.when(F.col("_marker").isNotNull(), F.col("line")))
-    stated = _with_state(lines, marker, lambda m: F.last(m, ignorenulls=True), last)
-    rows = stated.where(_is_data()).select(
-        "file", F.coalesce(F.col("_here"), F.col("_in")).alias("_at"),
+    before = materialise(_arriving(lines, marker, lambda m: F.last(m, ignorenulls=True), last), "splits")
+    names = F.filter(F.transform(F.split("_in", ","), lambda n: F.trim(n)), lambda n: n != "")
+    rows = _with_headers(lines, heads, hours).join(before, ["file", "split"], "left").select(
+        "file", *[F.coalesce(c, F.when(F.col("_in") != "", _places(names, wanted))).alias(f"_{c}")
+                  for c, wanted in (("heads", heads), ("hours", hours))],
         F.split(F.regexp_replace(F.rtrim("value"), ",+$", ""), ",").alias("_cells"),
-    ).where("_at.heads is not null")
+    ).where("size(_heads) + size(_hours) > 0")
 
     def text(place: Column) -> Column:
         return F.trim(F.try_element_at(F.col("_cells"), F.nullif(place, F.lit(0))))
 
-    numbers = F.transform(F.col("_at.hours"), lambda p: to_number(text(p)))
+    numbers = F.transform(F.col("_hours"), lambda p: to_number(text(p)))
     read = rows.select(
-        "file", F.transform(F.col("_at.heads"), text).alias("_texts"),
+        "file", F.transform(F.col("_heads"), text).alias("_texts"),
         F.transform(numbers, lambda n: F.when(n != MISSING_HOUR, n)).alias("_numbers"),
     )
 
@@ -114,22 +135,30 @@ def read_block_report(
 
 
 def report_preambles(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The free text before each block of a file, one row per block."""
-    lines = report_lines(spark, path)
+    """(file, block, text): the lines before each block of a file that name a station or its place.
+
+    All other lines go before anything is shuffled, so a group holds what its preamble says of stations and no more.
+    """
+    named = F.col("value").rlike(r"(?i)Station,|Latitude,|Longitude,|\(\d+\)")
+    lines = report_lines(spark, path).where(_is_header() | (named & ~_is_data()))
     marker = F.when(_is_header(), 1).otherwise(0)
-    stated = _with_state(lines, marker, lambda m: F.sum(m), F.sum("_marker"))
+    before = _arriving(lines, marker, lambda m: F.sum(m), F.sum("_marker"))
+    in_split = W.partitionBy("file", "split").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = lines.withColumn("_here", F.sum(marker).over(in_split)).join(before, ["file", "split"])
     block = F.col("_here") + F.coalesce(F.col("_in"), F.lit(0))
-    free = stated.where(~_is_data() & ~_is_header()).select("file", block.alias("block"), "split", "line", "value")
+    free = numbered.where(~_is_header()).select("file", block.alias("block"), "split", "line", "value")
     spot = F.struct("split", "line", "value")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(spot)), lambda s: s["value"]), "\n")
-    return free.groupBy("file", "block").agg(text.alias("text"))  # the few lines of one station's preamble
+    return free.groupBy("file", "block").agg(text.alias("text"))
 
 
 def extract_station_meta(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Id, name and coordinates for every station named in each text; the first by id is kept by the caller."""
+    """Id, name and coordinates for every station named in each text, with the other columns and the place in the text."""
     groups = [F.regexp_extract_all(text, F.lit(STATION_PATTERN), F.lit(g)) for g in (1, 2, 3, 4)]
-    found = texts.select(F.explode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups, 1)])).alias("m"))
+    rest = [c for c in texts.columns if c != text]
+    found = texts.select(
+        *rest, F.posexplode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups, 1)])).alias("place", "m"))
     return found.select(
         F.col("m.g2").cast("long").alias("station_id"), F.trim("m.g1").alias("station_name"),
-        to_number("m.g3").alias("latitude"), to_number("m.g4").alias("longitude"),
+        to_number("m.g3").alias("latitude"), to_number("m.g4").alias("longitude"), *rest, "place",
     )

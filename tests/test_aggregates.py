@@ -67,3 +67,8 @@ def test_rankings(spark):
     signs = spark.createDataFrame([(-3.0,), (2.0,)], "c double")
     assert [r[0] for r in agg.rank_by(signs, "c", absolute=True).collect()] == [-3.0, 2.0]
     assert [r[0] for r in agg.sort_panel(daily.withColumn("s", F.lit(1)), "s", "date").take(2)] == [day(0), day(1)]
+
+
+def test_numeric_mean_needs_all_keys(spark):
+    df = spark.createDataFrame([("a", day(0), 1.0), ("a", None, 9.0), (None, day(0), 5.0)], "region string, date date, v double")
+    assert rows(agg.numeric_mean_by(df, ["region", "date"])) == [("a", day(0), 1.0)]

@@ -125,9 +125,17 @@ def test_solve_finds_the_one_true_feature():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(53, 2))
     z = np.c_[np.ones(53), x, x @ [1.0, 0.0]]
-    penalty, intercept, coef, _, _ = lasso.solve([p.T @ p for p in np.array_split(z, 5)])
+    penalty, intercept, coef, _, _, converged = lasso.solve([p.T @ p for p in np.array_split(z, 5)])
     assert coef[0] == pytest.approx(x[:, 0].std(), rel=1e-2)  # on the standardised scale
-    assert abs(coef[1]) < 0.01
+    assert abs(coef[1]) < 0.01 and converged
+
+
+def test_passes_that_run_out_are_told(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 6)) + 3 * rng.normal(size=(60, 1))
+    z = np.c_[np.ones(60), x, x.sum(axis=1) + rng.normal(size=60)]
+    monkeypatch.setattr(lasso, "MAX_PASSES", 1)
+    assert not lasso.solve([p.T @ p for p in np.array_split(z, 5)])[-1]
 
 
 def test_permutation_importance(spark):
@@ -144,8 +152,6 @@ def test_permutation_importance(spark):
     assert 2.5 < got["u"] < 4.5  # mean |3(u - u')| of independent normals is 3.39
     again = forecast.permutation_importance(rows_.repartition(3), model, "e", "d", ["u", "v"], "y").collect()
     assert {r["feature"]: r["mae_increase"] for r in again} == pytest.approx(got)
-    capped = forecast.permutation_importance(rows_, model, "e", "d", ["u", "v"], "y", cap=50).collect()
-    assert len(capped) == 3
 
 
 def direct_adf(x, max_lag):
@@ -182,6 +188,28 @@ def test_adf(spark):
     assert got["walk"]["p_value"] > 0.1 and got["steady"]["p_value"] < 0.01
 
 
+def test_adf_of_series_that_cannot_be_tested(spark):
+    rng = np.random.default_rng(8)
+    good = np.cumsum(rng.normal(size=60))
+    series = {"good": good, "flat": np.ones(50), "three": [1.0, 2.0, 4.0], "one": [1.0], "line": np.arange(40.0)}
+    data = [(k, day(i), float(v)) for k, s in series.items() for i, v in enumerate(s)] + [("null", day(0), None)]
+    got = {r["k"]: r for r in stationarity.adf_test(spark.createDataFrame(data, "k string, d date, v double"), "k", "d", "v").collect()}
+    best, t, n = direct_adf(good, stationarity.longest_lag(len(good)))
+    assert (got["good"]["used_lag"], got["good"]["n_obs"]) == (best, n) and got["good"]["adf_statistic"] == pytest.approx(t)
+    for k, n_obs in (("flat", 49), ("three", 2), ("one", 0), ("line", 39), ("null", 0)):
+        assert (got[k]["adf_statistic"], got[k]["p_value"], got[k]["used_lag"], got[k]["n_obs"]) == (None, None, None, n_obs), k
+
+
+def test_sequence_scaler(spark):
+    x = np.random.default_rng(4).normal(size=(7, 3, 2))
+    x[:, :, 1] = 4.0
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(x)], "k long, x array<array<double>>")
+    fitted = forecast.fit_sequence_scaler(df.where("k < 5"))
+    got = np.array([r["x"] for r in forecast.apply_sequence_scaler(df, fitted).orderBy("k").collect()])
+    flat = x[:5].reshape(-1, 2)
+    np.testing.assert_allclose(got, (x - flat.mean(0)) / np.where(flat.std(0) > 1e-12, flat.std(0), 1.0), atol=1e-12)
+
+
 def test_mackinnon_p():
     assert stationarity.mackinnon_p(-2.86) == pytest.approx(0.05, abs=1e-3)  # published 5 % value
     assert stationarity.mackinnon_p(-3.43) == pytest.approx(0.01, abs=1e-3)  # published 1 % value

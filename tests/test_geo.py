@@ -23,8 +23,8 @@ def brute(points, sites):
 
 
 @pytest.mark.parametrize("seed,spread", [(1, "globe"), (2, "clustered"), (3, "dateline")])
-def test_tiles_agree_with_brute_force(spark, seed, spread, monkeypatch):
-    monkeypatch.setattr(geo, "TILE_SITES", 8)
+def test_cells_agree_with_brute_force(spark, seed, spread, monkeypatch):
+    monkeypatch.setattr(geo, "LEAF_SITES", 4)
     rng = np.random.default_rng(seed)
 
     def place(n):
@@ -39,6 +39,7 @@ def test_tiles_agree_with_brute_force(spark, seed, spread, monkeypatch):
 
     sites = [(i, f"s{i}", f"r{i % 5}", *map(float, p)) for i, p in enumerate(zip(*place(150)))]
     points = [(i, *map(float, p)) for i, p in enumerate(zip(*place(120)))]
+    points += [(200, 90.0, 0.0), (201, -90.0, 10.0), (202, 0.0, 180.0), (203, 0.0, -180.0), (204, -45.0, 90.0)]
     got = geo.nearest_site(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 75.0).collect()
     want = brute(points, sites)
     assert len(got) == len(points)
@@ -69,7 +70,31 @@ def test_ties_threshold_and_missing_coordinates(spark):
 
 def test_station_coordinates(spark):
     df = spark.createDataFrame([("7", "43.5", "-79"), ("7", "43.5", "-79"), ("8", "x", "-80")], "station_id string, lat string, lon string")
-    got = geo.station_coordinates(df.withColumnsRenamed({"lat": "latitude_y", "lon": "longitude_x"}), "latitude_y", "longitude_x", "station_id")
+    got = geo.station_coordinates(df.withColumnsRenamed({"lat": "latitude_y", "lon": "longitude_x"}), "latitude_y", "longitude_x", "station_id", [])
     assert rows(got) == [("7", 43.5, -79.0)]
-    made = geo.station_coordinates(df.select(F.col("lat").alias("a"), F.col("lon").alias("b")), "a", "b", None)
+    made = geo.station_coordinates(df.select(F.col("lat").alias("a"), F.col("lon").alias("b")), "a", "b", None, [])
     assert rows(made) == [("lat43.5_lon-79.0", 43.5, -79.0)]
+
+
+def test_station_coordinates_keep_the_first(spark):
+    df = spark.createDataFrame([(2, "7", 44.0, -79.0), (1, "7", 50.0, -80.0)], "row long, station_id string, lat double, lon double")
+    got = geo.station_coordinates(df, "lat", "lon", "station_id", ["row"])
+    assert rows(got) == [("7", 50.0, -80.0)]
+
+
+def test_far_points_visit_few_leaves(spark):
+    rng = np.random.default_rng(5)
+    sites = [(i, f"s{i}", "r", *map(float, p)) for i, p in enumerate(zip(rng.normal(47, 1, 4000), rng.normal(-85, 1, 4000)))]
+    unique = geo._unit(spark.createDataFrame(sites, SITE))
+    spots = [(47.0, -85.0), (10.0, -85.0), (0.0, 20.0), (-45.0, 90.0), (80.0, 100.0), (-47.0, 95.0)]
+    spots = geo._unit(spark.createDataFrame(spots, "lat double, lon double"))
+    leaves = geo._candidates(spots, unique).groupBy("lat", "lon").count().collect()
+    assert len(leaves) == 6 and max(r["count"] for r in leaves) <= 12
+
+
+def test_one_plan_for_few_sites(spark):
+    sites = spark.createDataFrame([(1, "a", "A", 1.0, 2.0)], SITE)
+    points = spark.createDataFrame([(1, 0.0, 0.0)], POINT)
+    plan = geo.nearest_site(points, sites)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert geo.nearest_site(points.limit(0), sites).count() == 0

@@ -38,6 +38,9 @@ def test_attach_region_by_site(spark):
     weather = spark.createDataFrame([("3920", 1.0), ("4.0", 2.0), ("5", 3.0)], "station_id string, t double")
     nearest = spark.createDataFrame([("3920.0", "North"), ("4", None)], "point_id string, assigned_region string")
     assert rows(joins.attach_region_by_site(weather, nearest), "t") == [("3920", 1.0, "North"), ("4", 2.0, None), ("5", 3.0, None)]
+    close = spark.createDataFrame([("9007199254740993", 1.0)], "station_id string, t double")
+    near = spark.createDataFrame([("9007199254740992", "Wrong"), ("9007199254740993.0", "Right")], "point_id string, assigned_region string")
+    assert rows(joins.attach_region_by_site(close, near)) == [("9007199254740993", 1.0, "Right")]
 
 
 def test_join_panels(spark):

@@ -6,6 +6,7 @@ from panelspark.operators.aggregates import HOURS
 from panelspark.operators.windows import sequences
 from panelspark.sources import files, pages, reports, schema, sinks
 
+META = ["station_id", "station_name", "latitude", "longitude"]
 HEADER = "Station ID,Pollutant,Date," + ",".join(HOURS)
 
 
@@ -58,17 +59,24 @@ def test_block_report_in_many_splits(spark, folder):
         assert reports.report_lines(spark, str(folder)).select("split").distinct().count() > 5
         got = reports.read_block_report(spark, f"{folder}/ON_PM25_2024*").select("Station ID", "Date", "H01", "H02", "year")
         assert rows(got, "Station ID", "Date") == EXPECTED
-        strict = reports.read_block_report(spark, f"{folder}/ON_PM25_2024*", keep_unclosed=False)
-        assert sorted({r[0] for r in strict.select("Station ID").collect()}) == [101, 103, 105]
-        meta = reports.extract_station_meta(reports.report_preambles(spark, f"{folder}/ON_PM25_2024*"))
+        meta = reports.extract_station_meta(reports.report_preambles(spark, f"{folder}/ON_PM25_2024*")).select(*META)
         assert rows(meta, "station_id") == [(101, "Main Street", 43.5, -79.25), (103, "Third Road", 44.0, -80.0)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_unclosed_rows_can_be_discarded(spark, folder):
-    strict = reports.read_block_report(spark, f"{folder}/ON_PM25_2024*", keep_unclosed=False)
-    assert sorted({r[0] for r in strict.select("Station ID").collect()}) == [101, 103, 105]
+def test_lines_are_not_shuffled(spark, folder):
+    plan = reports.read_block_report(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_a_file_without_headers(spark, tmp_path):
+    path = tmp_path / "ON_PM25_2021-01-01_x.csv"
+    path.write_text("Station, Lone (9)\nLatitude, 1\nLongitude, 2\n" + "free text\n" * 500 + line(9, "2021-01-01", 1))
+    assert reports.read_block_report(spark, str(path)).count() == 0
+    text = reports.report_preambles(spark, str(path)).collect()
+    assert len(text) == 1 and text[0]["text"].count("\n") == 2
+    assert rows(reports.extract_station_meta(spark.createDataFrame(text)).select(*META)) == [(9, "Lone", 1.0, 2.0)]
 
 
 def test_column_order_is_the_blocks_own(spark, tmp_path):
@@ -87,7 +95,7 @@ def test_year_is_required_in_the_file_name(spark, tmp_path):
 
 def test_station_meta_in_text(spark):
     texts = spark.createDataFrame([("STATION,  A b (7)\nx\ny Latitude,1.5\n Longitude,-2.25 Station,C (8) Latitude,3 Longitude,4",), ("none",)], "text string")
-    assert rows(reports.extract_station_meta(texts)) == [(7, "A b", 1.5, -2.25), (8, "C", 3.0, 4.0)]
+    assert rows(reports.extract_station_meta(texts).select(*META)) == [(7, "A b", 1.5, -2.25), (8, "C", 3.0, 4.0)]
 
 
 def test_tagged_files_and_coverage(spark, tmp_path):
@@ -99,6 +107,9 @@ def test_tagged_files_and_coverage(spark, tmp_path):
     assert rows(got.select("station_id", "year", "Max Temp (°C)"), "station_id", "year") == [
         ("1", 2020, "1"), ("1", 2021, "1"), ("22", 2021, "22")
     ]
+    (tmp_path / "station_22" / "station_22_daily_2022.csv").write_text("Rain,Date/Time\n4,2022-01-01\n")
+    mixed = files.read_tagged(spark, f"{tmp_path}/station_22/*.csv").select("year", "Date/Time", "Max Temp (°C)", "Rain")
+    assert rows(mixed, "year") == [(2021, "2021-01-01", "22", None), (2022, "2022-01-01", None, "4")]
     ids = spark.createDataFrame([("1",), ("22",), ("3",), ("3",)], "station_id string")
     assert rows(files.load_coverage(got, ids, [2020, 2021, 2022]), "year") == [(2020, 1, 2), (2021, 2, 1), (2022, 0, 3)]
 

@@ -17,12 +17,13 @@ def test_reports_to_region_days(spark, tmp_path):
     text += ["101,PM,2024-01-01," + ",".join(["4"] * 10 + ["-999"] * 2 + ["6"] * 12)]  # conflicts in ten hours
     text += ["Station, Two (102)", "Latitude, 44 Longitude, -80", HEADER, "102,PM,2024-01-01," + ",".join(["9"] * 14 + ["9999"] * 10)]
     (tmp_path / "ON_PM25_2024-01-01_2024-12-31.csv").write_text("\n".join(text))
-    lookup = spark.createDataFrame([(101, " North "), (102, "North")], "station_id long, region string")
-    hourly = stages.hourly_table(spark, str(tmp_path), lookup)
+    lookup = spark.createDataFrame(
+        [(101, " North ", 1), (102, "North", 2), (101, "Alpha", 3)], "station_id long, region string, row int")
+    hourly = stages.hourly_table(spark, str(tmp_path), lookup, lookup_order=["row"])
     assert hourly.columns == ["station_id", "Pollutant", "Date", "station_name", "region", "latitude", "longitude", *HOURS]
     first = hourly.where("station_id = 101").first()
     assert (first["H01"], first["H11"], first["H13"], first["station_name"]) == (3.0, None, 6.0, "One")
-    got = stages.region_day_pm(hourly, lookup, min_hours=15)
+    got = stages.region_day_pm(hourly, lookup, min_hours=15, lookup_order=["row"])
     want = (10 * 3 + 12 * 6) / 22
     assert rows(got) == [(day(0), "North", want, 2, 1)]
 

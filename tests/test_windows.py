@@ -121,3 +121,9 @@ def test_split_of_the_whole_table(spark):
     plain = windows.time_split(df, "d", "e", 0.8).toPandas()
     assert plain[plain.split == "train"]["d"].max() <= plain[plain.split == "test"]["d"].min()
     assert (plain["split"] == "train").sum() == n_train
+
+
+def test_split_leaves_out_rows_without_a_day(spark):
+    df = spark.createDataFrame([(i, day(i) if i > 3 else None) for i in range(10)], "e long, d date")
+    got = {r["e"]: r["split"] for r in windows.time_split(df, "d", "e", 0.5).collect()}
+    assert got == {4: "train", 5: "train", 6: "train", 7: "test", 8: "test", 9: "test"}
