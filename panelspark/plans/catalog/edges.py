@@ -220,7 +220,7 @@ e AS (SELECT nation_id, j, pen, AVG((hyy + hn * (my - mz * b) ** 2 + b * b * hzz
       + 2 * (my - mz * b) * b * hz) / hn) AS err FROM b GROUP BY 1, 2, 3),
 one AS (SELECT nation_id, arg_min(pen, err) AS pen FROM e GROUP BY 1),
 model AS (SELECT nation_id, s.n AS n_train, pen AS penalty, ym AS intercept,
-          sign(c) * greatest(abs(c) - a.n * pen, 0) / g AS coef, m, sd FROM one JOIN a USING (nation_id) JOIN s USING (nation_id))"""
+          CASE WHEN abs(c) - a.n * pen > 1e-9 * abs(c) THEN sign(c) * (abs(c) - a.n * pen) / g ELSE 0 END AS coef, m, sd FROM one JOIN a USING (nation_id) JOIN s USING (nation_id))"""
 
 
 def exact_series(spark, sf_dir):
