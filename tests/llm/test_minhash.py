@@ -3,11 +3,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from llm_helpers import changed, documents, odd_rows, prose
 from panelspark.llm import textkit
 from panelspark.llm.graph import components
-from panelspark.llm.minhash import Circulant, near_duplicates, unique_documents
+from panelspark.llm.minhash import Circulant, _can_link, _compared, _described, near_duplicates, unique_documents
 
 
 def shingle_set(text):
@@ -100,3 +101,22 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100} | {500 + i: 500 for i in range(51)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hub_bound_never_rules_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    sets = [np.sort(base)]
+    for _ in range(40):
+        kept = base[rng.random(150) > rng.uniform(0, 0.3)]
+        pool = sets[rng.integers(len(sets))]  # what is new is partly shared with others
+        sets.append(np.unique(np.concatenate([kept, rng.choice(pool, 20), rng.integers(0, 2**64, rng.integers(0, 30), dtype=np.uint64)])))
+    table = spark.createDataFrame([(bytes([i]) * 16, s.tobytes()) for i, s in enumerate(sets)], "set_id binary, items binary")
+    hub = bytes([0]) * 16
+    pairs = table.select(F.col("set_id").alias("a"), F.lit(bytearray(hub)).alias("b")).where("a <> b")
+    about = _described(_compared(pairs, table, 75))
+    u, v = about.alias("u"), about.alias("v")
+    possible = {(r[0][0], r[1][0]) for r in u.join(v, _can_link(75)).select("u.set_id", "v.set_id").collect()}
+    linked = {(i, j) for i in range(1, 41) for j in range(1, 41)
+              if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= possible and len(possible) < 1600 * 0.8
