@@ -8,21 +8,22 @@ are in the document around the window.
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.exprs import let, text_or_empty
-from panelspark.session import materialise
 
 SHINGLE = 3  # words
 WINDOW = 6  # shingles of a window, that is 8 words
 STRIDE = 4  # words from window to window: a notice of 5 words lies whole in one of them
 BANDS = 16  # of one value each: a window with half of its shingles in common is found but for 2 ** -16
 PERCENT = 80  # of a template's shingles
-MOST_TEMPLATE_WORDS = 50_000  # up to here the template windows are broadcast
+MOST_TEMPLATE_WORDS = 10_000  # of templates that are searched in one pass: their windows are broadcast
 
 # Usual notices and opening sentences of public licenses.
 TEMPLATES = [
@@ -60,30 +61,34 @@ TEMPLATES = [
 
 
 def shingle_hashes(text: str) -> Column:
-    """Hash of every run of SHINGLE words of a text; words are lower-case runs of letters and digits."""
-    words = F.filter(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Hash of every run of SHINGLE words of a text; a word is a lower-case run of anything but ASCII punctuation."""
+    words = F.filter(F.split(F.lower(text_or_empty(text)), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
     return let(words, lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<bigint>")).otherwise(F.transform(
         F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[w[i + k] for k in range(SHINGLE)]))))
 
 
-def windows(hashes: Column, stride: int) -> Column:
-    """Runs of WINDOW hashes, the last ones shorter, starting every ``stride``."""
-    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.size(h) - 1, F.lit(stride)), lambda i: F.slice(h, i + 1, WINDOW))))
+def windows(hashes: str, stride: int) -> Column:
+    """Runs of WINDOW hashes from every ``stride``-th on, as (at, h0, h1, ...); short runs repeat their first hash."""
+    def window(h: Column, i: Column) -> Column:
+        run = [F.coalesce(F.get(h, i + k), F.get(h, i), F.lit(0).cast("long")).alias(f"h{k}") for k in range(WINDOW)]
+        return F.struct(i.alias("at"), *run)
 
+    none = F.filter(F.array(window(F.array(F.lit(0).cast("long")), F.lit(0))), lambda w: F.lit(False))
+    return let(F.col(hashes), lambda h: F.when(F.size(h) == 0, none).otherwise(F.transform(
+        F.sequence(F.lit(0), F.size(h) - 1, F.lit(stride)), lambda i: window(h, i))))
 
-def band_keys(window: str) -> Column:
-    """MinHash values of a window, each with its band in the low bits.
+
+def band_values() -> list[Column]:
+    """MinHash value of a window (h0, h1, ...) in each band.
 
     The hashes are uniform, so hash XOR a constant orders them anew for every constant.
     """
     masks = np.random.default_rng(41).integers(-(2**63), 2**63, BANDS, dtype=np.int64).tolist()
-    values = [F.get(window, F.lit(k)) for k in range(WINDOW)]
-    low = F.lit(~(BANDS - 1))
-    return F.array(*[
-        F.least(*[v.bitwiseXOR(F.lit(mask)) for v in values]).bitwiseAND(low.cast("long")).bitwiseOR(F.lit(band).cast("long"))
-        for band, mask in enumerate(masks)
-    ])
+    return [F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(WINDOW)]) for mask in masks]
+
+
+def band_keys() -> Column:
+    return F.array(*[F.struct(F.lit(band).alias("band"), v.alias("value")) for band, v in enumerate(band_values())])
 
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
@@ -101,41 +106,46 @@ def scan_licenses(
     """(id, license, n_windows, first_word, percent) for every row of ``docs`` and license found in it.
 
     A template is found where a window of the text shares a band with one of the template's windows and at least
-    ``percent`` of the template's distinct shingles occur within a template's length of that window. n_windows counts
-    such windows over the license's templates, first_word is the first one's place (a word number from 0) and percent
-    the highest containment. Null and empty texts and templates of fewer than SHINGLE words match nothing; rows
-    with equal ids and texts are reported once; a null id stays null; other columns are not read. Candidates
-    are stored, so texts are only joined with the few documents that have one.
+    ``percent`` of the template's distinct shingles occur within the longest template's length of that window. n_windows
+    counts such windows over the license's templates, first_word is the first one's place (a word number from 0)
+    and percent the highest containment. Null and empty texts and templates of fewer than SHINGLE words match nothing; rows
+    with equal ids and texts are reported once; a null id stays null; other columns are not read; an empty table gives an
+    empty one. Texts are read once and not shuffled; templates are taken in blocks of up to
+    MOST_TEMPLATE_WORDS words, one pass each.
     """
-    spark = docs.sparkSession
-    known = template_table(spark, templates)
-    keys = known.select("template", F.explode(windows(F.col("shingles"), 1)).alias("window")).select(
-        "template", F.explode(band_keys("window")).alias("key")).distinct()
-    if sum(len(text.split()) for _, text in templates) <= MOST_TEMPLATE_WORDS:
-        known, keys = F.broadcast(known), F.broadcast(keys)
-
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    hits = (
-        rows.select("id", "tag", F.posexplode(windows(shingle_hashes("text"), STRIDE)).alias("at", "window"))
-        .select("id", "tag", "at", F.explode(band_keys("window")).alias("key"))
-        .join(keys, "key").select("id", "tag", "at", "template").distinct()
-    )
-    hits = materialise(hits, "license-windows")
-    same = F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.tag") == F.col("c.tag"))
-    wanted = hits.select("id", "tag").distinct().alias("c")
-    texts = rows.alias("d").join(wanted, same, "left_semi").dropDuplicates(["id", "tag"]).select(
-        "id", "tag", shingle_hashes("text").alias("hashes"))
-    around = F.slice("hashes", F.greatest(F.col("at") * STRIDE + 1 - F.size("shingles"), F.lit(1)),
-                     WINDOW + 2 * F.size("shingles"))
-    distinct = F.array_distinct("shingles")
-    found = (
-        hits.alias("c").join(texts.alias("d"), same).select("d.id", "d.tag", "at", "template", "hashes")
-        .join(known, "template")
-        .select("id", "tag", "license", "at", (100 * F.size(F.array_intersect(distinct, around)) / F.size(distinct)).alias("percent"))
-        .where(F.col("percent") >= percent)
-    )
-    return found.groupBy("id", "tag", "license").agg(
-        F.countDistinct("at").alias("n_windows"), (F.min("at") * STRIDE).cast("long").alias("first_word"),
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), shingle_hashes(text_col).alias("hashes"))
+    blocks: list[list[tuple[str, str]]] = [[]]
+    words = 0
+    for name, text in templates:
+        words += len(text.split())
+        if words > MOST_TEMPLATE_WORDS and blocks[-1]:
+            blocks.append([])
+            words = len(text.split())
+        blocks[-1].append((name, text))
+    found = reduce(DataFrame.union, [_contained(rows, template_table(docs.sparkSession, b)) for b in blocks])
+    return found.where(F.col("percent") >= percent).groupBy("id", "tag", "license").agg(
+        F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"),
         F.max("percent").alias("percent"),
     ).drop("tag").withColumnRenamed("id", id_col)
+
+
+def _contained(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, tag, at, license, percent) of every candidate window and template of one block."""
+    keys = known.select("template", F.inline(windows("shingles", 1))).select("template", F.inline(band_keys())).distinct()
+    per_band = keys.groupBy("band").agg(F.collect_set("value").alias("values")).collect()  # bounded by the block
+    values = {r["band"]: sorted(r["values"]) for r in per_band}
+    margin = known.agg(F.max(F.size("shingles"))).first()[0] or 0
+
+    # The windows are made first, so that inlining, the filter and the slice compile into one loop in which
+    # the hashes are not copied. (An inner inline would have its array computed once more, as a filter on its size.)
+    cut = rows.withColumn("windows", windows("hashes", STRIDE)).select("id", "tag", "hashes", F.inline_outer("windows"))
+    hit = reduce(operator.or_, [v.isin(values[b]) for b, v in enumerate(band_values()) if b in values], F.lit(False))
+    first = F.greatest(F.col("at") + 1 - margin, F.lit(1))
+    around = F.slice("hashes", first, WINDOW + 2 * margin).alias("around")
+    candidates = cut.where(hit).select("id", "tag", "at", around, *[f"h{k}" for k in range(WINDOW)])
+    matched = candidates.select("id", "tag", "at", "around", F.inline(band_keys())).join(
+        F.broadcast(keys), ["band", "value"]).dropDuplicates(["id", "tag", "at", "template"])
+    distinct = F.array_distinct("shingles")
+    share = 100 * F.size(F.array_intersect(distinct, F.col("around"))) / F.size(distinct)
+    return matched.join(F.broadcast(known), "template").select("id", "tag", "at", "license", share.alias("percent"))
