@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelspark.session import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _stored(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a checksum taken on the way."""
+    seen = Observation()
+    stored = materialise(edges.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("check")), label)
+    return stored, (seen.get["n"], seen.get["check"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,10 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     reduced before the shuffle, and about log(n) steps suffice. Every step is a written table, so a lost
     executor costs one step at most. Null ends and loops are left out; no edges give no rows.
     """
-    current = materialise(
+    current, state = _stored(
         edges.where(f"`{a}` <> `{b}`")
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
-    state = _state(current)
     while state[0]:
         both = current.union(current.select("lo", "hi")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,8 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.toDF("hi", "lo"))
-        current = materialise(small.where("hi <> lo").distinct(), "small-star")
-        before, state = state, _state(current)
+        before = state
+        current, state = _stored(small.where("hi <> lo").distinct(), "small-star")
         if state == before:
             break
     roots = current.select("lo").distinct()

@@ -244,16 +244,13 @@ def _components(
         F.max(F.struct("company", "leader")).alias("top")).select("a", F.col("top.leader").alias("b"))
     hubs = materialise(_compared(first, sets, percent), "hubs")
     links = hubs.where("linked").select("a", "b")
-    label = components(links)
 
-    # Then with the other leaders, unless that is known to change nothing.
-    mine, other = label.toDF("a", "ra"), label.toDF("b", "rb")
+    # Then with the other leaders, unless both already have the same linked hub.
+    mine, other = links.toDF("a", "ra"), links.toDF("b", "rb")
     rest = stars.select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct().join(mine, "a", "left").join(
         other, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(rest, sets, percent), "more")
-    if not more.isEmpty():
-        links = materialise(links.union(more), "links")
-        label = components(links)
+    links = materialise(links.union(_confirmed(rest, sets, percent)), "links")
+    label = components(links)
 
     # Buckets that still hold several components: nodes other than the leader meet, if their hubs do not rule it out.
     named = stars.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select(
@@ -264,8 +261,16 @@ def _components(
     meeting = open_.alias("u").join(open_.alias("v"), apart).select(
         F.col("u.set_id").alias("a"), F.col("v.set_id").alias("b")).distinct()
     more = materialise(_confirmed(meeting, sets, percent), "more")
-    if not more.isEmpty():
-        label = components(links.union(more))
+    if not more.isEmpty():  # only the components that these links connect are closed again
+        def renamed(pairs: DataFrame, end: str) -> DataFrame:
+            roots = label.toDF(end, "_root")
+            return pairs.join(roots, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+
+        joined = components(renamed(renamed(more, "a"), "b")).toDF("_old", "_new")
+        ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        alone = ends.join(label, "node", "left_anti").withColumn("root", F.col("node"))
+        every = label.union(alone).join(joined, F.col("root") == F.col("_old"), "left")
+        label = every.select("node", F.coalesce("_new", "root").alias("root"))
 
     named = nodes.select("set_id", "first_id", "n").join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("root", F.coalesce("root", "set_id"))
