@@ -23,6 +23,7 @@ from panelspark.session import materialise
 ORDER = 3
 MODEL_CELLS = 1 << 24  # bound on the (context, byte) pairs of the model times its languages
 _BLOCK = 1 << 20
+_PARTS = 64  # parts by a hash into which counts that are alike are cut for pruning
 _UNDETERMINED = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -150,22 +151,53 @@ def context_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def shares(sizes: dict[str, int], nodes: int) -> dict[str, int]:
+    """How many counts each language keeps: all alike, and what small languages leave goes to the others; one at least."""
+    out: dict[str, int] = {}
+    for i, lang in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[lang] = min(sizes[lang], max(1, (nodes - sum(out.values())) // (len(sizes) - i)))
+    return out
+
+
+def _pruned(counts: DataFrame, cells: int) -> DataFrame:
+    """The most frequent counts of every language, as many as its share; counts that are alike go by a hash of the gram.
+
+    No task sees a whole language: counts are told apart by eighths of powers of two and hash parts, whose sizes alone are
+    collected; the class in which a share ends is cut by the hash.
+    """
+    rank = F.floor(8 * F.log2("n")).cast("int")
+    part = F.pmod(F.xxhash64("gram"), F.lit(_PARTS)).cast("int")
+    classes = counts.groupBy("lang", rank.alias("rank"), part.alias("part")).count().orderBy("lang", F.desc("rank"), "part").collect()
+    sizes: dict[str, int] = {}
+    for row in classes:
+        sizes[row["lang"]] = sizes.get(row["lang"], 0) + row["count"]
+    left = shares(sizes, cells // max(1, len(sizes)))
+    bounds: dict[str, tuple[int, int]] = {}  # by language the last class that is kept
+    full: set[str] = set()
+    for row in classes:
+        lang = row["lang"]
+        # the first class stays whatever its size, so that no language vanishes
+        if lang not in full and (row["count"] <= left[lang] or lang not in bounds):
+            left[lang] -= row["count"]
+            bounds[lang] = row["rank"], row["part"]
+        else:
+            full.add(lang)
+    if not full:
+        return counts
+    table = counts.sparkSession.createDataFrame([(k, *v) for k, v in bounds.items()], "lang string, last_rank int, last_part int")
+    kept = (rank > F.col("last_rank")) | ((rank == F.col("last_rank")) & (part <= F.col("last_part")))
+    return counts.join(F.broadcast(table), "lang").where(kept).select("lang", "gram", "n")
+
+
 def learn_languages(rows: DataFrame, cells: int = MODEL_CELLS) -> ContextTrees:
-    """Trees from all texts of (lang, text); if they would be too large, the rarest counts are pruned.
+    """Trees from all texts of (lang, text); if they would be too large, every language's rarest counts are pruned.
 
-    Pruning keeps the counts of at least the least power of two for which the (context, byte, language) counts that
-    remain, times the languages, are at most ``cells``: the model on the driver and in the tasks is bounded.
+    ``cells`` bounds the (context, byte, language) counts that remain times the languages, and so the model on the
+    driver and in the tasks. Each language has the same share of it and keeps its most frequent counts, so a language with few
+    texts stays beside others with many; one whose counts fit its share keeps them all.
     """
     counts = materialise(context_counts(rows), "contexts")
-    nodes = cells // max(1, counts.select("lang").distinct().count())
-    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect()
-    kept, least = 0, 0
-    for row in sizes:
-        kept += row["count"]
-        if kept > nodes:
-            least = 2 ** (row["power"] + 1)
-            break
-    model = counts.where(F.col("n") >= least).toArrow()
+    model = _pruned(counts, cells).toArrow()
     langs = sorted(set(model.column("lang").to_pylist()))
     codes = pc.index_in(model.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int64)
     gram = model.column("gram").to_numpy().astype(np.uint32)

@@ -90,3 +90,19 @@ def test_odd_input(odd, none):
 
 def test_empty_model():
     assert ContextTrees([], *(np.zeros(0, t) for t in (np.int64, np.uint32, float))).langs == []
+
+
+def test_pruning_keeps_every_language(spark):
+    rows = [("aa", text("aa", s, 400)) for s in range(40)] + [("bb", text("bb", s, 400)) for s in range(40)] + [("cc", text("cc", 1, 12))]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    model = learn_languages(table, 900)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert 3 * len(model.levels[3][0]) <= 900
+    bits = model.code_lengths(*text_bytes(pa.array([text("cc", 9, 20)])))
+    assert model.langs[int(bits.argmin())] == "cc"
+
+
+def test_shares_use_what_small_languages_leave():
+    assert language.shares({"a": 10, "b": 1000, "c": 1000}, 300) == {"a": 10, "b": 145, "c": 145}
+    assert language.shares({"a": 10, "b": 20}, 100) == {"a": 10, "b": 20}
+    assert language.shares({"a": 10, "b": 20}, 1) == {"a": 1, "b": 1}
