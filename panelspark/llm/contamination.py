@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from panelspark.llm.textkit import mix64, slices, text_bytes
 
-GRAM = 12  # bytes of a q-gram
-SEGMENT = 96  # bytes of a segment of an item; segments start every half of that
-EDIT_RATE = 0.06  # edits allowed per byte of a segment
-LEAST = 32  # items of fewer bytes never match
+GRAM = 7  # bytes of a q-gram
+SEGMENT = 64  # bytes of a segment of an item; segments start every half of that
+EDIT_RATE = 0.11  # edits allowed per byte of a segment, a replaced word of up to 7 letters in a whole one
+LEAST = 12  # items of fewer bytes, such as one word, never match; the shortest others match exactly only
 BLOCK_BYTES = 4 << 20  # text of benchmark items that is sent to the workers at once
 PIECE_CHARS = 1 << 16  # longer items are cut into overlapping pieces before they are dealt to blocks
 _SLICE = 1 << 20
@@ -95,6 +95,8 @@ class SegmentIndex:
         self.first = np.append(first, len(found))
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        needs = self.lengths - GRAM + 1 - self.edits * GRAM
+        self.least = int(needs.min()) if len(needs) else 0  # hits that any segment needs
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -109,20 +111,26 @@ class SegmentIndex:
         row = np.searchsorted(rows, spots, side="right") - 1
         inside = spots + GRAM <= rows[row + 1]
         spots, at, row = spots[inside], at[inside], row[inside]
+        # the hits of a band lie within a segment and the edits of it; fewer hits than any needs are dropped at once
+        reach = SEGMENT + 2 * int(self.edits.max(initial=0)) + 2
+        after = np.searchsorted(spots, spots + reach) - np.searchsorted(spots, spots - reach)
+        dense = after >= self.least
+        spots, at, row = spots[dense], at[dense], row[dense]
         n = self.first[at + 1] - self.first[at]
         posting = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) \
             if len(n) else np.zeros(0, np.int64)
         segment, row = self.owner[posting], np.repeat(row, n)
         step = self.edits[segment] + 1
         band = (np.repeat(spots, n) - rows[row] - self.place[posting] + SEGMENT) // step
-        keys = np.concatenate([np.stack([row, segment, band], 1), np.stack([row, segment, band - 1], 1)])
-        if len(keys) == 0:
-            return keys
-        order = np.lexsort(keys.T[::-1])
-        keys = keys[order]
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        counts = np.diff(np.append(new, len(keys)))
-        keys = keys[new]
+        if len(band) == 0:
+            return np.zeros((0, 3), np.int64)
+        wide = int(band.max()) + 2  # one number per (row, segment, band), as these sort faster
+        packed = (row * len(self.lengths) + segment) * wide + band + 1
+        packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
+        few = counts < self.least
+        packed, counts = packed[~few], counts[~few]
+        owner, band = np.divmod(packed, wide)
+        keys = np.stack([*np.divmod(owner, len(self.lengths)), band - 1], 1)
         need = self.lengths[keys[:, 1]] - GRAM + 1 - self.edits[keys[:, 1]] * GRAM
         return keys[counts >= need]
 

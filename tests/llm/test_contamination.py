@@ -100,3 +100,14 @@ def test_reduced_texts():
     data, starts, _ = reduced(*__import__("panelspark.llm.textkit", fromlist=["x"]).text_bytes(pa.array(texts)))
     parts = [bytes(data[a:b]) for a, b in zip(starts[:-1], starts[1:])]
     assert [p.rstrip() for p in parts] == [plain(t) for t in texts]
+
+
+def test_short_items_replaced_words_and_inner_excerpts():
+    words = "the quick brown foxes jump over lazy dogs while seven happy wizards cook fresh bread under old wooden bridges near quiet rivers".split()
+    replaced = [w if i % 12 != 5 else "xqzvkj" for i, w in enumerate(words)]
+    items = [("short", "What is the capital of France?"), ("long", " ".join(words))]
+    noise = prose(3, 30)
+    texts = [f"{noise} what is the Capital of France {noise}", f"{noise} {' '.join(replaced)} {noise}",
+             f"{noise} {' '.join(words[3:20])} {noise}", noise, f"{noise} What is it {noise}"]
+    found = {(row, item) for row, item, *_ in SegmentIndex(items).search(pa.array(texts))}
+    assert found == {(0, "short"), (1, "long"), (2, "long")}
