@@ -11,6 +11,7 @@ from panelspark.llm.chat import format_conversations, read_back, read_ranks
 from panelspark.llm.contamination import benchmark_matches
 from panelspark.llm.language import identify_languages
 from panelspark.llm.licenses import scan_licenses
+from panelspark.llm.manifest import manifest, proof_digest
 from panelspark.llm.minhash import near_duplicates
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.passages import repeated_passages
@@ -112,3 +113,60 @@ def op4_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the crc32 of the id as text, the text is found without its line feeds."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    found = manifest(table(spark, sf_dir, "documents"), changed={"text": F.coalesce(tampered, "text")})
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest("path").alias("proof_sha256"), "folded_root", "verified")
+
+
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE found AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda r, zero: xor(r >> 1, (r & 1) * 3988292384))) & 1 AS bit
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || CASE WHEN bit = 1 THEN coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')
+      ELSE coalesce(strlen(text) || ':' || text, '-') END) AS found
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM found)),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, n FROM placed
+  UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), max((n + 2) // 3)
+  FROM low WHERE n > 1 GROUP BY tree, level, idx // 3),
+subroots AS (SELECT tree, h, level AS height FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree AS idx, h, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), max((n + 2) // 3)
+  FROM high WHERE n > 1 GROUP BY level, idx // 3),
+runs AS (
+  SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM low a JOIN low b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+tops AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM high a JOIN high b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY 1, 2),
+steps AS (
+  SELECT p.tree, p.idx, r.level AS step, l, r FROM placed p JOIN runs r ON p.tree = r.tree AND r.idx = p.idx // CAST(3 ** r.level AS BIGINT)
+  UNION ALL SELECT p.tree, p.idx, s.height + t.level, l, r
+  FROM placed p JOIN subroots s ON p.tree = s.tree JOIN tops t ON t.idx = p.tree // CAST(3 ** t.level AS BIGINT)),
+fold AS (
+  SELECT tree, idx, 0 AS step, found AS h FROM placed
+  UNION ALL SELECT f.tree, f.idx, f.step + 1, sha256(s.l || f.h || s.r) FROM fold f JOIN steps s ON f.tree = s.tree AND f.idx = s.idx AND f.step = s.step),
+ends AS (SELECT tree, idx, arg_max(h, step) AS folded_root FROM fold GROUP BY 1, 2),
+proofs AS (SELECT tree, idx, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY 1, 2)
+SELECT doc_id, leaf, s.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM placed JOIN subroots s USING (tree) JOIN ends USING (tree, idx) LEFT JOIN proofs USING (tree, idx)
+  CROSS JOIN (SELECT h FROM high WHERE n = 1) root
+""".strip()
