@@ -15,6 +15,7 @@ from panelspark.llm.manifest import manifest, proof_digest
 from panelspark.llm.minhash import near_duplicates
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.negatives import hard_negatives
+from panelspark.llm.parity import jaccard_components
 from panelspark.llm.passages import repeated_passages
 from panelspark.llm.quality import quality_rules
 from panelspark.llm.secrets import scan_secrets
@@ -145,6 +146,15 @@ SELECT * FROM negatives WHERE rank <= 5
 """.strip()
 
 
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_jaccard_join"] = SQL["op2_near_duplicates"].replace("100 * n >= 75 *", "100 * n >= 80 *").replace(
+    ", doc_id = component_id AS kept", "")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 2 divides the crc32 of the id as text, the text is found without its line feeds."""
