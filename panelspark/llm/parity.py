@@ -25,6 +25,7 @@ from panelspark.llm.textkit import mix64, shingles, slices, text_bytes, word_has
 from panelspark.session import materialise
 
 FAMILIES = 4  # ways of cutting a sketch; a later one is for sets with too many empty parts in all earlier ones
+_WIDTH = 140  # per cent from the least to the most of a band's smaller sets
 _FOLD = 32  # 64-bit words of a folded sketch
 _SLICE = 512  # pairs with the same second set that share one copy of it
 _SALT = mix64(np.arange(1, FAMILIES + 1, dtype=np.uint64) << np.uint64(32))
@@ -39,7 +40,7 @@ def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
     """
     out, low = [], 1
     while low <= largest:
-        after = max(low + 1, low * 100 // percent)
+        after = max(low + 1, low * _WIDTH // 100)
         top = (after - 1) * 100 // percent
         d = (100 - percent) * (after - 1 + top) // (100 + percent)
         if d:
@@ -94,27 +95,34 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
         yield batch, shingles(*word_hashes(*text_bytes(batch.column("text"))), words)
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(row, id, t1, t2, n_shingles, name, keys) of each row; t1 and t2 are hashes of its text; no name without words."""
+    """(row, id, t1, t2, n_shingles, name, sketch, keys) of each row.
+
+    t1 and t2 are hashes of the text; without words there is no name. The sketch is folded.
+    """
     first = ["row", "id", "t1", "t2"]
 
     def run(batches):
         for batch, sets in _sets(batches, words):
-            sizes, names, keys = [], [], []
+            sizes, names, sketches, keys = [], [], [], []
             for items in sets:
                 sizes.append(len(items))
                 names.append(set_name(items) if len(items) else None)
+                sketches.append(folded(items) if len(items) else np.zeros(0, np.int64))
                 keys.append(part_keys(items, percent))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in first], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
-            ], [*first, "n_shingles", "name", "keys"])
+                _lists(sketches), _lists(keys)], [*first, "n_shingles", "name", "sketch", "keys"])
 
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType),
         T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.BinaryType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
     named = _named(docs, id_col, text_col)
     return named.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(run, schema)
@@ -127,28 +135,21 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, size, s0, s1, ..., items) of each row of (node, text)."""
+    """(node, items) of each row of (node, text)."""
 
     def run(batches):
         for batch, sets in _sets(batches, words):
-            sets = list(sets)
-            sketches = np.array([folded(s) for s in sets], np.int64).reshape(-1, _FOLD)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sketches.T),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "size", *_words(""), "items"])
+                [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
-    return texts.select("node", "text").mapInArrow(
-        run, "node long, size long, " + ", ".join(f"{w} long" for w in _words("")) + ", items binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, items binary")
 
 
-def _words(prefix: str) -> list[str]:
-    return [f"{prefix}s{i}" for i in range(_FOLD)]
-
-
-def may_link(percent: int, u: str = "u.", v: str = "v.") -> Column:
-    """False only if sizes or folded sketches rule out that two sets are similar enough."""
-    apart = reduce(operator.add, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(_words(u), _words(v))])
-    a, b = F.col(f"{u}size"), F.col(f"{v}size")
+def may_link(percent: int) -> Column:
+    """False only if sizes or folded sketches rule out that two sets, u and v, are similar enough."""
+    apart = reduce(operator.add, [
+        F.bit_count(F.get("u.sketch", F.lit(i)).bitwiseXOR(F.get("v.sketch", F.lit(i)))) for i in range(_FOLD)])
+    a, b = F.col("u.size"), F.col("v.size")
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b))
 
 
@@ -161,12 +162,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many = often.where("slices > 1")
     cut = pairs.join(many, "b", "left").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1).cast("long"))).alias("slice"))
-    seconds = sets.withColumnRenamed("node", "b").join(often, "b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
-        F.struct("size", *_words(""), "items").alias("v"))
-    firsts = sets.select(F.col("node").alias("a"), F.struct("size", *_words(""), "items").alias("u"))
-    near = cut.join(seconds, ["b", "slice"]).join(firsts, "a").where(may_link(percent)).select(
-        "a", "b", F.col("u.items").alias("x"), F.col("v.items").alias("y"))
+    seconds = sets.toDF("b", "y").join(often, "b").select(
+        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "y")
+    near = cut.join(sets.toDF("a", "x"), "a").join(seconds, ["b", "slice"]).select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -209,34 +207,42 @@ def jaccard_components(
     leaders = met.join(company, "node").groupBy("key").agg(
         F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
     stars = materialise(met.select("key", "node").join(leaders, "key").where("node <> leader"), "stars")
-
-    wanted = nodes.join(company.select("node"), "node").select("node", "of.*").alias("w")
-    same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.id").eqNullSafe(F.col("w.id"))
-    texts = _named(docs, id_col, text_col).alias("d").join(wanted, same).select("node", "text", "copies")
-    single, several = texts.where("copies = 1"), texts.where("copies > 1").dropDuplicates(["node"])
-    sets = materialise(whole_sets(single.union(several), words), "sets")
+    sketches = found.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sketch").join(
+        company.select("node"), "node", "left_semi")
+    sketches = materialise(sketches, "folded")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(ends, "node").select("node", "of.*").alias("w")
+        same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.id").eqNullSafe(F.col("w.id"))
+        texts = _named(docs, id_col, text_col).alias("d").join(wanted, same).select("node", "text", "copies")
+        single, several = texts.where("copies = 1"), texts.where("copies > 1").dropDuplicates(["node"])
+        return materialise(whole_sets(single.union(several), words), "sets")
 
     # Each node with the leader of most company first: that settles most groups with one pair per node.
-    top = stars.join(company.withColumnsRenamed({"node": "leader"}), "leader").groupBy(F.col("node").alias("a")).agg(
-        F.max(F.struct("company", "leader")).alias("top")).select("a", F.col("top.leader").alias("b"))
+    near = materialise(
+        stars.select("node", "leader").distinct().alias("p")
+        .join(sketches.alias("u"), F.col("p.node") == F.col("u.node"))
+        .join(sketches.alias("v"), F.col("p.leader") == F.col("v.node")).where(may_link(percent))
+        .select(F.col("p.node").alias("a"), F.col("p.leader").alias("b")), "near")
+    sets = sets_of(near)
+    top = near.join(company.toDF("b", "company"), "b").groupBy("a").agg(
+        F.max(F.struct("company", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     links = materialise(confirmed(top, sets, percent), "links")
-    hub = links.toDF("node", "hub")
-    rest = stars.select("node", "leader").distinct().join(hub, "node", "left").join(
-        hub.toDF("leader", "of"), "leader", "left").where("coalesce(hub, node) <> coalesce(of, leader)").select(
-        F.col("node").alias("a"), F.col("leader").alias("b"))
-    rest = rest.join(top, ["a", "b"], "left_anti")
+    rest = near.join(links.toDF("a", "hub"), "a", "left").join(links.toDF("b", "of"), "b", "left").where(
+        "coalesce(hub, a) <> coalesce(of, b)").select("a", "b").join(top, ["a", "b"], "left_anti")
     links = materialise(links.union(confirmed(rest, sets, percent)), "links")
     roots = materialise(components(links), "roots")
 
     # Keys whose nodes are still in several components: nodes other than the leader meet if their sketches allow it.
     named = stars.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = materialise(named.join(mixed.select("key"), "key").join(sets.drop("items"), "node"), "open")
+    open_ = materialise(named.join(mixed.select("key"), "key").join(sketches, "node"), "open")
     apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.root") < F.col("v.root")) & may_link(percent)
     pairs = materialise(open_.alias("u").join(open_.alias("v"), apart).select(
         F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct(), "pairs")
-    more = materialise(confirmed(pairs, sets, percent), "more")
-    if not more.isEmpty():
+    if not pairs.isEmpty():
+        more = materialise(confirmed(pairs, sets_of(pairs), percent), "more")
         roots = components(links.union(more))
 
     named = nodes.drop("of").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -69,8 +69,9 @@ def test_labels_of_one_kind_and_hot_label(spark, small):
     assert run(table(spark, [(i, v, 1) for i, v, _ in rows])) == []
 
 
-def test_far_nodes_are_not_read():
+def test_far_nodes_are_not_read(monkeypatch):
     """Clusters far from the anchor are skipped whole; the rows found are those of a full scan."""
+    monkeypatch.setattr(neg, "LEAF_ROWS", 64)  # less than a cluster
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16)) * 400
     points = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 16)) * 4)
