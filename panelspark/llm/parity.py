@@ -26,7 +26,8 @@ from panelspark.session import materialise
 
 FAMILIES = 4  # ways of cutting a sketch; a later one is for sets with too many empty parts in all earlier ones
 _WIDTH = 140  # per cent from the least to the most of a band's smaller sets
-_FOLD = 32  # 64-bit words of a folded sketch
+_FOLD, _SHORT = 32, 8  # 64-bit words of a folded sketch; the sketch of fewer than _MANY tokens is folded further
+_MANY = 512
 _SLICE = 512  # pairs with the same second set that share one copy of it
 _SALT = mix64(np.arange(1, FAMILIES + 1, dtype=np.uint64) << np.uint64(32))
 
@@ -80,9 +81,10 @@ def part_keys(items: np.ndarray, percent: int) -> np.ndarray:
 
 
 def folded(items: np.ndarray) -> np.ndarray:
-    """Sketch of ``_FOLD`` words: whether an odd number of tokens falls on a bit."""
-    at = (items >> np.uint64(13)) % np.uint64(64 * _FOLD)
-    odd = np.bincount(at.astype(np.intp), minlength=64 * _FOLD) & 1
+    """Sketch of a few words: whether an odd number of tokens falls on a bit."""
+    size = 64 * (_FOLD if len(items) >= _MANY else _SHORT)
+    at = (items >> np.uint64(13)) % np.uint64(size)
+    odd = np.bincount(at.astype(np.intp), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -145,12 +147,21 @@ def whole_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, items binary")
 
 
+def _sizes_fit(percent: int, a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def may_link(percent: int) -> Column:
-    """False only if sizes or folded sketches rule out that two sets, u and v, are similar enough."""
-    apart = reduce(operator.add, [
-        F.bit_count(F.get("u.sketch", F.lit(i)).bitwiseXOR(F.get("v.sketch", F.lit(i)))) for i in range(_FOLD)])
-    a, b = F.col("u.size"), F.col("v.size")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b))
+    """False only if sizes or folded sketches rule out that two sets, u and v, are similar enough.
+
+    Long sketches are compared whole, and folded to the length of short ones.
+    """
+    apart = reduce(operator.add, [F.bit_count(F.col(f"u.s{i}").bitwiseXOR(F.col(f"v.s{i}"))) for i in range(_SHORT)])
+    words = F.zip_with("u.sketch", "v.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    wide = F.aggregate(words, F.lit(0), lambda total, n: total + n)  # null unless both sketches are long
+    most = (100 - percent) * (F.col("u.size") + F.col("v.size"))
+    return (_sizes_fit(percent, F.col("u.size"), F.col("v.size")) & ((100 + percent) * apart <= most)
+            & F.coalesce((100 + percent) * wide <= most, F.lit(True)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +171,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     often = pairs.groupBy("b").agg(F.ceil(F.count("*") / _SLICE).alias("slices"))
     many = often.where("slices > 1")
-    cut = pairs.join(many, "b", "left").select(
-        "a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1).cast("long"))).alias("slice"))
+    cut = materialise(pairs.join(many, "b", "left").select(
+        "a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1).cast("long"))).alias("slice")), "cut")
     seconds = sets.toDF("b", "y").join(often, "b").select(
         "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "y")
     near = cut.join(sets.toDF("a", "x"), "a").join(seconds, ["b", "slice"]).select("a", "b", "x", "y")
@@ -203,13 +214,18 @@ def jaccard_components(
     keys = keys.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     met = keys.withColumn("size", F.count("*").over(W.partitionBy("key"))).where("size > 1")
     met = materialise(met, "met")
-    company = met.groupBy("node").agg(F.sum("size").alias("company"))
-    leaders = met.join(company, "node").groupBy("key").agg(
-        F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-    stars = materialise(met.select("key", "node").join(leaders, "key").where("node <> leader"), "stars")
+    company = materialise(met.groupBy("node").agg(F.sum("size").alias("company")).join(
+        found.select(F.col("row").alias("node"), F.col("n_shingles").alias("tokens")), "node"), "company")
+    met = met.select("key", "node").join(company, "node")
+    leaders = met.groupBy("key").agg(F.max(F.struct("company", "node", "tokens")).alias("top"))
+    stars = materialise(met.join(leaders, "key").where("node <> top.node").select(
+        "key", "node", F.col("top.node").alias("leader"), _sizes_fit(percent, F.col("tokens"), F.col("top.tokens")).alias("fits")), "stars")
     sketches = found.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sketch").join(
         company.select("node"), "node", "left_semi")
-    sketches = materialise(sketches, "folded")
+    short = [reduce(Column.bitwiseXOR, [F.coalesce(F.get("sketch", F.lit(j)), F.lit(0).cast("long")) for j in range(i, _FOLD, _SHORT)])
+             .alias(f"s{i}") for i in range(_SHORT)]
+    sketches = materialise(sketches.select(
+        "node", "size", *short, F.when(F.size("sketch") == _FOLD, F.col("sketch")).alias("sketch")), "folded")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -221,12 +237,12 @@ def jaccard_components(
 
     # Each node with the leader of most company first: that settles most groups with one pair per node.
     near = materialise(
-        stars.select("node", "leader").distinct().alias("p")
+        stars.where("fits").select("node", "leader").distinct().alias("p")
         .join(sketches.alias("u"), F.col("p.node") == F.col("u.node"))
         .join(sketches.alias("v"), F.col("p.leader") == F.col("v.node")).where(may_link(percent))
         .select(F.col("p.node").alias("a"), F.col("p.leader").alias("b")), "near")
     sets = sets_of(near)
-    top = near.join(company.toDF("b", "company"), "b").groupBy("a").agg(
+    top = near.join(company.select(F.col("node").alias("b"), "company"), "b").groupBy("a").agg(
         F.max(F.struct("company", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     links = materialise(confirmed(top, sets, percent), "links")
     rest = near.join(links.toDF("a", "hub"), "a", "left").join(links.toDF("b", "of"), "b", "left").where(

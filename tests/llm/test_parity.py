@@ -54,7 +54,9 @@ def test_similar_sets_share_a_key(percent):
             if len(x) == len(y) and (x == y).all():
                 continue
             assert np.intersect1d(part_keys(x, percent), part_keys(y, percent)).size, (n, common, left, most)
-            distance = sum(bin(int(a) & (2**64 - 1)).count("1") for a in folded(x) ^ folded(y))
+            u, v = (np.bitwise_xor.reduce(folded(s).reshape(-1, 8), axis=0) if cut else folded(s)
+                    for s in (x, y) for cut in [len(folded(x)) != len(folded(y))])
+            distance = sum(bin(int(a) & (2**64 - 1)).count("1") for a in u ^ v)
             assert distance <= most
 
 
