@@ -229,11 +229,11 @@ def jaccard_components(
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(ends, "node").select("node", "of.*").alias("w")
+        wanted = materialise(nodes.join(ends, "node").select("node", "of.*"), "wanted")
+        texts = _named(docs, id_col, text_col).alias("d")
         same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.id").eqNullSafe(F.col("w.id"))
-        texts = _named(docs, id_col, text_col).alias("d").join(wanted, same).select("node", "text", "copies")
-        single, several = texts.where("copies = 1"), texts.where("copies > 1").dropDuplicates(["node"])
-        return materialise(whole_sets(single.union(several), words), "sets")
+        single, several = (texts.join(wanted.where(c).alias("w"), same).select("node", "text") for c in ("copies = 1", "copies > 1"))
+        return materialise(whole_sets(single.union(several.dropDuplicates(["node"])), words), "sets")
 
     # Each node with the leader of most company first: that settles most groups with one pair per node.
     near = materialise(
