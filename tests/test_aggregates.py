@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import aggregates as agg
 
 HOUR_SCHEMA = "station_id long, date date, " + ", ".join(f"{h} double" for h in agg.HOURS)

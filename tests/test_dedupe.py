@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import dedupe
 
 SCHEMA = "k long, d date, name string, a double, b double, pos int"

@@ -1,4 +1,4 @@
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import episodes
 
 

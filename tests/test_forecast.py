@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import forecast, lasso, stationarity
 from panelspark.operators.moments import moment_rows
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_helpers import rows
 from panelspark.operators import geo
 
 POINT, SITE = "point_id long, lat double, lon double", "ord long, site_id string, region string, lat double, lon double"

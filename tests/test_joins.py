@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import joins
 
 

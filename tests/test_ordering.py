@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators.ordering import before_rank, day_counts, exact_quantiles, ordered_index
-from conftest import day
+from panel_helpers import day
 
 
 def test_ordered_index(spark):

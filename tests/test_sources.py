@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators.aggregates import HOURS
 from panelspark.operators.windows import sequences
 from panelspark.sources import files, pages, reports, schema, sinks

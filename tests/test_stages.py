@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators.aggregates import HOURS
 from panelspark.plans import stages
 from panelspark.session import shared_dir

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import day, rows
+from panel_helpers import day, rows
 from panelspark.operators import impute, windows
 
 
