@@ -79,8 +79,7 @@ def date_column(df: DataFrame) -> str:
 
 def station_column(df: DataFrame) -> str | None:
     """A name holding both "station" and "id" wins; otherwise a known station name; otherwise none."""
-    return resolve(df.columns, [lambda c: {"station", "id"} <= {w for w in ("station", "id") if w in c.lower()},
-                                *_same_as(STATION_NAMES)])
+    return resolve(df.columns, [lambda c: "station" in c.lower() and "id" in c.lower(), *_same_as(STATION_NAMES)])
 
 
 def hour_columns(df: DataFrame) -> list[str]:

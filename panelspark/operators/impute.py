@@ -1,14 +1,16 @@
-"""Bounded filling of gaps in an entity's series. Filled values between two readings look ahead to the second."""
+"""Bounded filling of gaps in an entity's series. Filled values between two readings look ahead to the second.
+
+Series are worked on in blocks of days; a gap may span any number of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.operators.windows import checked_days, series
+from panelspark.operators.segments import BLOCK_DAYS, surrounding
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -16,28 +18,15 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=present) if present else df
 
 
-def _neighbours(df: DataFrame, entity: str, date: str, cols: Sequence[str], ahead: bool) -> DataFrame:
-    """Add the row number and, per column, the last reading up to here (and the next one)."""
-    w = series(entity, date)
-    back = w.rowsBetween(W.unboundedPreceding, 0)
-    fore = W.partitionBy(entity).orderBy(F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
-    numbered = checked_days(df, entity, date).withColumn("_rn", F.row_number().over(w))
-    found = {}
-    for c in cols:
-        reading = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("at"), F.col(c).alias("v")))
-        found[f"_last_{c}"] = F.last(reading, ignorenulls=True).over(back)
-        if ahead:
-            found[f"_next_{c}"] = F.last(reading, ignorenulls=True).over(fore)
-    return numbered.withColumns(found)
-
-
-def interpolate_forward(df: DataFrame, entity: str, date: str, limits: dict[str, int]) -> DataFrame:
+def interpolate_forward(
+    df: DataFrame, entity: str, date: str, limits: dict[str, int], block_days: int = BLOCK_DAYS
+) -> DataFrame:
     """Linear interpolation by row position of the first ``limit`` nulls of each gap.
 
     Nulls before the first reading stay; after the last reading it is repeated, up to ``limit`` times.
     """
     cols = [c for c in limits if c in df.columns]
-    around = _neighbours(df, entity, date, cols, ahead=True)
+    around = surrounding(df, entity, date, cols, ahead=True, block_days=block_days)
     filled = {}
     for c in cols:
         last, nxt = F.col(f"_last_{c}"), F.col(f"_next_{c}")
@@ -48,10 +37,12 @@ def interpolate_forward(df: DataFrame, entity: str, date: str, limits: dict[str,
     return around.withColumns(filled).select(*df.columns)
 
 
-def ffill(df: DataFrame, entity: str, date: str, limits: dict[str, int]) -> DataFrame:
+def ffill(
+    df: DataFrame, entity: str, date: str, limits: dict[str, int], block_days: int = BLOCK_DAYS
+) -> DataFrame:
     """Repeat the last reading, up to ``limit`` times per gap."""
     cols = [c for c in limits if c in df.columns]
-    around = _neighbours(df, entity, date, cols, ahead=False)
+    around = surrounding(df, entity, date, cols, ahead=False, block_days=block_days)
     filled = {
         c: F.when(F.col("_rn") - F.col(f"_last_{c}")["at"] <= limits[c], F.col(f"_last_{c}")["v"]) for c in cols
     }

@@ -36,17 +36,29 @@ def next_label(df: DataFrame, entity: str, date: str, value: str, name: str = "l
     return checked_days(df, entity, date).withColumn(name, F.lead(value).over(w)).dropna(subset=[name])
 
 
-def lag_columns(entity: str, date: str, lags: Mapping[str, Sequence[int]]) -> dict[str, Column]:
-    w = f"over (partition by {quoted(entity)} order by {quoted(date)})"
-    return {f"{c}_lag_{k}": F.expr(f"lag({quoted(c)}, {k}) {w}") for c, ks in lags.items() for k in ks}
+def _over(entity: str, date: str, rows: str = "", days: str = "") -> str:
+    """A window clause by rows, or by days where ``days`` is given."""
+    order = f"unix_date({quoted(date)}) range {days}" if days else f"{quoted(date)} {rows}"
+    return f"over (partition by {quoted(entity)} order by {order})"
 
 
-def rolling_columns(entity: str, date: str, windows: Mapping[str, Sequence[int]]) -> dict[str, Column]:
-    """Mean and sample deviation over the last ``n`` rows, this one included, where all hold a value."""
+def lag_columns(entity: str, date: str, lags: Mapping[str, Sequence[int]], calendar: bool = False) -> dict[str, Column]:
+    """The value ``k`` rows earlier, or ``k`` days earlier with ``calendar``: null where that day has no row."""
+    if calendar:
+        return {f"{c}_lag_{k}": F.expr(f"first({quoted(c)}) {_over(entity, date, days=f'between {k} preceding and {k} preceding')}")
+                for c, ks in lags.items() for k in ks}
+    return {f"{c}_lag_{k}": F.expr(f"lag({quoted(c)}, {k}) {_over(entity, date)}") for c, ks in lags.items() for k in ks}
+
+
+def rolling_columns(
+    entity: str, date: str, windows: Mapping[str, Sequence[int]], calendar: bool = False
+) -> dict[str, Column]:
+    """Mean and sample deviation over the last ``n`` rows (days with ``calendar``), this one included, where all hold a
+    value."""
     out = {}
     for c, sizes in windows.items():
         for n in sizes:
-            frame = f"over (partition by {quoted(entity)} order by {quoted(date)} rows {n - 1} preceding)"
+            frame = _over(entity, date, f"rows {n - 1} preceding", f"{n - 1} preceding" if calendar else "")
             for name, f in (("mean", "avg"), ("std", "stddev_samp")):
                 out[f"{c}_roll_{name}_{n}"] = F.expr(
                     f"if(count({quoted(c)}) {frame} = {n}, {f}({quoted(c)}) {frame}, null)"
@@ -54,12 +66,16 @@ def rolling_columns(entity: str, date: str, windows: Mapping[str, Sequence[int]]
     return out
 
 
-def add_lags(df: DataFrame, entity: str, date: str, lags: Mapping[str, Sequence[int]]) -> DataFrame:
-    return checked_days(df, entity, date).withColumns(lag_columns(entity, date, lags))
+def add_lags(
+    df: DataFrame, entity: str, date: str, lags: Mapping[str, Sequence[int]], calendar: bool = False
+) -> DataFrame:
+    return checked_days(df, entity, date).withColumns(lag_columns(entity, date, lags, calendar))
 
 
-def add_rolling(df: DataFrame, entity: str, date: str, windows: Mapping[str, Sequence[int]]) -> DataFrame:
-    return checked_days(df, entity, date).withColumns(rolling_columns(entity, date, windows))
+def add_rolling(
+    df: DataFrame, entity: str, date: str, windows: Mapping[str, Sequence[int]], calendar: bool = False
+) -> DataFrame:
+    return checked_days(df, entity, date).withColumns(rolling_columns(entity, date, windows, calendar))
 
 
 def add_diffs(df: DataFrame, value: str, lags: Sequence[int]) -> DataFrame:
@@ -74,10 +90,13 @@ def add_calendar(df: DataFrame, date: str) -> DataFrame:
 
 def panel_features(
     df: DataFrame, entity: str, date: str, lags: Mapping[str, Sequence[int]],
-    windows: Mapping[str, Sequence[int]], diffs: Mapping[str, Sequence[int]],
+    windows: Mapping[str, Sequence[int]], diffs: Mapping[str, Sequence[int]], calendar: bool = False,
 ) -> DataFrame:
-    """Lags, rolling statistics, differences and calendar columns in one window pass."""
-    every = {**lag_columns(entity, date, lags), **rolling_columns(entity, date, windows)}
+    """Lags, rolling statistics, differences and calendar columns in one window pass.
+
+    ``calendar`` counts days instead of rows: a missing day is a gap, not a step.
+    """
+    every = {**lag_columns(entity, date, lags, calendar), **rolling_columns(entity, date, windows, calendar)}
     out = checked_days(df, entity, date).withColumns(every)
     for value, ks in diffs.items():
         out = add_diffs(out, value, ks)

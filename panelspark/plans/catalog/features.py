@@ -13,7 +13,7 @@ from panelspark.operators.windows import (
 )
 from panelspark.plans import stages
 from panelspark.plans.catalog.registry import (
-    DAILY, DAILY_TYPES, SPINE, SPINE_END, SPINE_START, daily, daily_types, query, rounded, table,
+    DAILY, DAILY_TYPES, SPINE, SPINE_END, SPINE_START, daily, daily_types, exact_mean, query, rounded, table,
 )
 
 BY_USER = "WINDOW w AS (PARTITION BY user_id ORDER BY date)"
@@ -65,6 +65,40 @@ def diffs(spark, sf_dir):
     return rounded(out.select("user_id", "date", "value_diff_1", "value_diff_7"), "value_diff_1", "value_diff_7", digits=6)
 
 
+def _day_lag_sql(c, k):
+    return (f"MAX({c}) OVER (PARTITION BY user_id ORDER BY date RANGE BETWEEN INTERVAL {k} DAY PRECEDING "
+            f"AND INTERVAL {k} DAY PRECEDING)")
+
+
+def _day_roll_sql(c, n):
+    frame = f"OVER (PARTITION BY user_id ORDER BY date RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND CURRENT ROW)"
+    full = f"COUNT({c}) {frame} = {n}"
+    return (f"ROUND(CASE WHEN {full} THEN AVG({c}) {frame} END, 6) AS {c}_roll_mean_{n}, "
+            f"ROUND(CASE WHEN {full} THEN STDDEV_SAMP({c}) {frame} END, 6) AS {c}_roll_std_{n}")
+
+
+@query("calendar_lags", f"""
+WITH {DAILY} SELECT user_id, date, {", ".join(f"{_day_lag_sql('value', k)} AS value_lag_{k}" for k in (1, 2, 3, 7, 14))},
+  {_day_lag_sql("n_hours", 1)} AS n_hours_lag_1 FROM daily
+""")
+def calendar_lags(spark, sf_dir):
+    out = add_lags(daily(spark, sf_dir), "user_id", "date", {"value": [1, 2, 3, 7, 14], "n_hours": [1]}, calendar=True)
+    return out.drop("value", "n_hours")
+
+
+@query("calendar_features", f"""
+WITH {DAILY} SELECT user_id, date, value, {", ".join(f"{_day_lag_sql('value', k)} AS value_lag_{k}" for k in (1, 7))},
+  {_day_roll_sql("value", 3)}, {_day_roll_sql("value", 7)}, ROUND(value - {_day_lag_sql("value", 1)}, 6) AS value_diff_1,
+  dayofyear(date)::INT AS day_of_year, ROUND(sin(2 * pi() * dayofyear(date) / 365.0), 6) AS sin_doy,
+  ROUND(cos(2 * pi() * dayofyear(date) / 365.0), 6) AS cos_doy FROM daily
+""")
+def calendar_features(spark, sf_dir):
+    out = panel_features(
+        daily(spark, sf_dir).select("user_id", "date", "value"), "user_id", "date",
+        {"value": [1, 7]}, {"value": [3, 7]}, {"value": [1]}, calendar=True)
+    return rounded(out, *[c for c in out.columns if "_roll_" in c or "doy" in c or "diff" in c], digits=6)
+
+
 @query("calendar_encoding", """
 SELECT o_orderkey, dayofyear(o_orderdate)::INT AS day_of_year,
        ROUND(sin(2 * pi() * dayofyear(o_orderdate) / 365.0), 6) AS sin_doy,
@@ -148,6 +182,68 @@ def event_episodes_query(spark, sf_dir):
     return rounded(event_episodes(marked, "user_id", "date", "value"), "mean_value", digits=6)
 
 
+# Order prices as series of years, much longer than a block of days. They are divided by a prime, so that no result lies on
+# the edge between two rounded values.
+YEARS = ("1995-01-01", "2001-12-31")
+
+
+def prices(spark, sf_dir, entities):
+    return table(spark, sf_dir, "orders").groupBy(
+        (F.col("o_custkey") % entities).alias("entity"), F.to_date("o_orderdate").alias("date")
+    ).agg((exact_mean("o_totalprice") / 99991).alias("value"))
+
+
+def prices_sql(entities):
+    return f"""prices AS (
+  SELECT o_custkey % {entities} AS entity, CAST(o_orderdate AS DATE) AS date,
+         CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) / 99991 AS value FROM orders GROUP BY 1, 2)"""
+
+
+LONG_AROUND = f"""
+WITH {prices_sql(25)}, n AS (
+  SELECT e.entity, CAST(g.d AS DATE) AS date, p.value, row_number() OVER (PARTITION BY e.entity ORDER BY g.d) AS rn
+  FROM (SELECT DISTINCT entity FROM prices) e
+  CROSS JOIN (SELECT unnest(generate_series(DATE '{YEARS[0]}', DATE '{YEARS[1]}', INTERVAL 1 DAY)) AS d) g
+  LEFT JOIN prices p ON p.entity = e.entity AND p.date = CAST(g.d AS DATE)),
+a AS (SELECT *, LAST_VALUE(CASE WHEN value IS NOT NULL THEN rn END IGNORE NULLS) OVER back AS rn0,
+        LAST_VALUE(value IGNORE NULLS) OVER back AS v0,
+        FIRST_VALUE(CASE WHEN value IS NOT NULL THEN rn END IGNORE NULLS) OVER ahead AS rn1,
+        FIRST_VALUE(value IGNORE NULLS) OVER ahead AS v1
+  FROM n WINDOW back AS (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING),
+    ahead AS (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+"""
+
+
+def long_spine(spark, sf_dir):
+    return calendar_spine(prices(spark, sf_dir, 25), "entity", "date", *YEARS)
+
+
+@query("interpolate_long_series", LONG_AROUND + """
+SELECT entity, date, ROUND(CASE WHEN value IS NOT NULL THEN value WHEN rn - rn0 <= 400 THEN
+  CASE WHEN rn1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (rn1 - rn0) * (rn - rn0) END END, 8) AS value FROM a
+""")
+def interpolate_long_series(spark, sf_dir):
+    return rounded(interpolate_forward(long_spine(spark, sf_dir), "entity", "date", {"value": 400}), "value")
+
+
+@query("ffill_long_series", LONG_AROUND + "SELECT entity, date, CASE WHEN rn - rn0 <= 400 THEN v0 END AS value FROM a")
+def ffill_long_series(spark, sf_dir):
+    return ffill(long_spine(spark, sf_dir), "entity", "date", {"value": 400})
+
+
+@query("long_episodes", f"""
+WITH {prices_sql(2)}, e AS (SELECT *, value >= 1 AS event_day FROM prices), s AS (
+  SELECT *, CASE WHEN event_day AND NOT COALESCE(LAG(event_day) OVER w AND date - LAG(date) OVER w = 1, FALSE)
+            THEN 1 ELSE 0 END AS starts FROM e WINDOW w AS (PARTITION BY entity ORDER BY date)),
+i AS (SELECT *, CAST(SUM(starts) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode_id FROM s)
+SELECT entity, episode_id, MIN(date) AS start_date, MAX(date) AS end_date, COUNT(*) AS n_days,
+       ROUND(AVG(value), 8) AS mean_value, MAX(value) AS max_value FROM i WHERE event_day GROUP BY 1, 2
+""")
+def long_episodes(spark, sf_dir):
+    marked = prices(spark, sf_dir, 2).withColumn("event_day", F.col("value") >= 1)
+    return rounded(event_episodes(marked, "entity", "date", "value"), "mean_value")
+
+
 SEQ_LEN = 14
 
 
