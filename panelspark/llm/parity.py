@@ -28,6 +28,7 @@ FAMILIES = 4  # ways of cutting a sketch; a later one is for sets with too many
 _WIDTH = 140  # per cent from the least to the most of a band's smaller sets
 _FOLD, _SHORT = 32, 8  # 64-bit words of a folded sketch; the sketch of fewer than _MANY tokens is folded further
 _MANY = 512
+_FILTER_BITS = 23  # a table of 2 ** 23 bits keeps most texts that are not wanted out of a shuffle
 _SLICE = 512  # pairs with the same second set that share one copy of it
 _SALT = mix64(np.arange(1, FAMILIES + 1, dtype=np.uint64) << np.uint64(32))
 
@@ -136,6 +137,18 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
+def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of which ``wanted`` may hold the hash t1: all that it holds, and few others while it is not huge.
+
+    The bits sent to every task are 2 ** (_FILTER_BITS - 6) words at most, whatever the size of the tables.
+    """
+    place = F.col("t1").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int((t1 & {(1 << _FILTER_BITS) - 1}) & 63))")
+    bits = wanted.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = texts.withColumns({"word": F.shiftright(place, 6), "bit": bit})
+    return marked.join(F.broadcast(bits), "word").where("bits & bit <> 0").drop("word", "bit", "bits")
+
+
 def whole_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, items) of each row of (node, text)."""
 
@@ -169,7 +182,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A set that is the second of many pairs is sent once for every ``_SLICE`` of them, so that its pairs are many tasks.
     """
-    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / _SLICE).alias("slices"))
+    often = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / _SLICE).alias("slices")), "often")
     many = often.where("slices > 1")
     cut = materialise(pairs.join(many, "b", "left").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1).cast("long"))).alias("slice")), "cut")
@@ -230,7 +243,7 @@ def jaccard_components(
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = materialise(nodes.join(ends, "node").select("node", "of.*"), "wanted")
-        texts = _named(docs, id_col, text_col).alias("d")
+        texts = possible(_named(docs, id_col, text_col), wanted).alias("d")
         same = (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2")) & F.col("d.id").eqNullSafe(F.col("w.id"))
         single, several = (texts.join(wanted.where(c).alias("w"), same).select("node", "text") for c in ("copies = 1", "copies > 1"))
         return materialise(whole_sets(single.union(several.dropDuplicates(["node"])), words), "sets")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from llm_helpers import changed, documents, odd_rows, prose
-from panelspark.llm.parity import bands, folded, jaccard_components, part_keys
+from panelspark.llm.parity import bands, folded, jaccard_components, part_keys, possible
 from panelspark.llm.textkit import mix64
 
 
@@ -89,3 +89,11 @@ def test_odd_rows(spark, odd, none):
     assert run(odd) == brute(odd_rows())
     assert run(none) == []
     assert jaccard_components(documents(spark, [(1, None, None, None), (2, "", None, None)])).count() == 2
+
+
+def test_wanted_texts_pass_the_bit_table(spark):
+    texts = spark.range(20_000).selectExpr("id", "xxhash64(id) as t1")
+    wanted = texts.where("id % 100 = 3")
+    kept = possible(texts, wanted)
+    assert kept.columns == ["id", "t1"] and 200 <= kept.count() < 300
+    assert wanted.join(kept, "id", "left_anti").count() == 0 == possible(texts, wanted.limit(0)).count()
