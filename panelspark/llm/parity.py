@@ -212,8 +212,8 @@ def jaccard_components(
     that are similar enough surely share a key, and a pair that shares one is left out only if it is already connected or if
     sizes or sketches rule it out.
 
-    Equal sets are one node. A key's nodes are compared with its leader first, the one with most company; then nodes of a
-    key that are not yet connected are compared with each other. An empty or null text is alone. A null id names a component
+    Equal sets are one node. A key's nodes are compared with the least of them first, where they are not yet connected
+    with the one of most company, and where they still are not with each other. An empty or null text is alone. A null id names a component
     only if all its ids are null (component_id null). Repeated rows share their component; other columns are not read; an
     empty table gives an empty one.
     """
@@ -225,20 +225,19 @@ def jaccard_components(
     ).select("name", F.col("of.row").alias("node"), "first_id", "n", F.struct("of.id", "of.t1", "of.t2", "of.copies").alias("of")), "nodes")
     keys = found.select("row", "keys").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     keys = keys.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    met = keys.withColumn("size", F.count("*").over(W.partitionBy("key"))).where("size > 1")
-    met = materialise(met, "met")
-    company = materialise(met.groupBy("node").agg(F.sum("size").alias("company")).join(
-        found.select(F.col("row").alias("node"), F.col("n_shingles").alias("tokens")), "node"), "company")
-    met = met.select("key", "node").join(company, "node")
-    leaders = met.groupBy("key").agg(F.max(F.struct("company", "node", "tokens")).alias("top"))
-    stars = materialise(met.join(leaders, "key").where("node <> top.node").select(
-        "key", "node", F.col("top.node").alias("leader"), _sizes_fit(percent, F.col("tokens"), F.col("top.tokens")).alias("fits")), "stars")
+    of_key = W.partitionBy("key")
+    stars = materialise(
+        keys.withColumns({"size": F.count("*").over(of_key), "leader": F.min("node").over(of_key)}).where("size > 1")
+        .select("key", "node", "leader", "size"), "stars")
+    company = stars.groupBy("node").agg(F.sum("size").alias("company"))
+    involved = stars.select("node").distinct()  # holds the leaders too
     sketches = found.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sketch").join(
-        company.select("node"), "node", "left_semi")
+        involved, "node", "left_semi")
     short = [reduce(Column.bitwiseXOR, [F.coalesce(F.get("sketch", F.lit(j)), F.lit(0).cast("long")) for j in range(i, _FOLD, _SHORT)])
              .alias(f"s{i}") for i in range(_SHORT)]
     sketches = materialise(sketches.select(
         "node", "size", *short, F.when(F.size("sketch") == _FOLD, F.col("sketch")).alias("sketch")), "folded")
+    stars = stars.where("node <> leader")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -248,25 +247,42 @@ def jaccard_components(
         single, several = (texts.join(wanted.where(c).alias("w"), same).select("node", "text") for c in ("copies = 1", "copies > 1"))
         return materialise(whole_sets(single.union(several.dropDuplicates(["node"])), words), "sets")
 
-    # Each node with the leader of most company first: that settles most groups with one pair per node.
-    near = materialise(
-        stars.where("fits").select("node", "leader").distinct().alias("p")
-        .join(sketches.alias("u"), F.col("p.node") == F.col("u.node"))
-        .join(sketches.alias("v"), F.col("p.leader") == F.col("v.node")).where(may_link(percent))
-        .select(F.col("p.node").alias("a"), F.col("p.leader").alias("b")), "near")
+    def linkable(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b, ...) whose sketches allow a link, written."""
+        of_a, of_b = sketches.alias("u"), sketches.alias("v")
+        kept = pairs.alias("p").join(of_a, F.col("p.a") == F.col("u.node")).join(of_b, F.col("p.b") == F.col("v.node"))
+        return materialise(kept.where(may_link(percent)).select("p.*"), label)
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """(key, node, root) of the keys whose nodes are in several components."""
+        named = stars.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        leaders = stars.groupBy("key").agg(F.min("leader").alias("node"))
+        named = named.union(leaders.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node")))
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        return named.join(mixed.select("key"), "key")
+
+    # Each node with the leader it shares most keys with first: that settles most groups with one pair per node.
+    near = linkable(stars.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared")), "near")
     sets = sets_of(near)
-    top = near.join(company.select(F.col("node").alias("b"), "company"), "b").groupBy("a").agg(
-        F.max(F.struct("company", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    top = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     links = materialise(confirmed(top, sets, percent), "links")
     rest = near.join(links.toDF("a", "hub"), "a", "left").join(links.toDF("b", "of"), "b", "left").where(
         "coalesce(hub, a) <> coalesce(of, b)").select("a", "b").join(top, ["a", "b"], "left_anti")
     links = materialise(links.union(confirmed(rest, sets, percent)), "links")
     roots = materialise(components(links), "roots")
 
-    # Keys whose nodes are still in several components: nodes other than the leader meet if their sketches allow it.
-    named = stars.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = materialise(named.join(mixed.select("key"), "key").join(sketches, "node"), "open")
+    # Then each node of a key in several components with the one of most company: likely the text that the others vary.
+    parted = still_open(roots).join(company, "node")
+    second = parted.groupBy("key").agg(F.max(F.struct("company", "node", "root")).alias("top"))
+    second = parted.join(second, "key").where("root <> top.root").select(
+        F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
+    second = linkable(second.join(near.select("a", "b"), ["a", "b"], "left_anti"), "second")
+    if not second.isEmpty():
+        links = materialise(links.union(confirmed(second, sets_of(second), percent)), "links")
+        roots = materialise(components(links), "roots")
+
+    # What is still apart meets within each key if the sketches allow it.
+    open_ = materialise(still_open(roots).join(sketches, "node"), "open")
     apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.root") < F.col("v.root")) & may_link(percent)
     pairs = materialise(open_.alias("u").join(open_.alias("v"), apart).select(
         F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct(), "pairs")
