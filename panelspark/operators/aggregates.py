@@ -47,9 +47,18 @@ def region_day(
     )
 
 
-def numeric_mean_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean of every numeric column, station columns apart, for rows that have all keys."""
-    cols = numeric_columns(df, exclude=keys, exclude_containing="station")
+def numeric_mean_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str] | None = None) -> DataFrame:
+    """Mean of every numeric column, station columns apart, for rows that have all keys.
+
+    ``measures`` names the columns to average instead, so that coordinates, indicators and date parts can be left out; a name
+    that is not a numeric column is an error.
+    """
+    cols = numeric_columns(df, exclude=keys, exclude_containing=None if measures is not None else "station")
+    if measures is not None:
+        unknown = [m for m in measures if m not in cols]
+        if unknown:
+            raise ValueError(f"no numeric columns {unknown} among {df.columns}")
+        cols = list(measures)
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 

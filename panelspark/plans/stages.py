@@ -85,13 +85,17 @@ def region_day_pm(hourly: DataFrame, lookup: DataFrame, min_hours: int = 0, *, l
 
 
 def region_day_weather(
-    raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0, *, order: Sequence[str]
+    raw: DataFrame, sites: DataFrame, threshold_km: float = 75.0, *, order: Sequence[str],
+    measures: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Raw daily weather to the mean of every numeric column per region and day; ``order`` is the source's."""
+    """Raw daily weather to the mean of every numeric column, or of the ``measures``, per region and day.
+
+    ``order`` is the source's.
+    """
     clean = materialise(clean_weather(raw, order), "clean-weather")
     points = station_coordinates(clean, "latitude_y", "longitude_x", station_column(clean), order)
     nearest = nearest_site(points.withColumnRenamed("weather_station_id", "point_id"), sites, threshold_km)
-    return numeric_mean_by(attach_region_by_site(clean, nearest), ["region", "date"])
+    return numeric_mean_by(attach_region_by_site(clean, nearest), ["region", "date"], measures)
 
 
 def joined_panel(pm: DataFrame, weather: DataFrame, how: str = "inner") -> DataFrame:

@@ -48,6 +48,10 @@ def test_numeric_means(spark):
         "region string, date date, t double, t_is_trace int, station_id long, note string",
     )
     assert rows(agg.numeric_mean_by(df, ["region", "date"])) == [("a", day(0), 1.0, 0.5)]
+    chosen = agg.numeric_mean_by(df, ["region", "date"], ["station_id", "t"])
+    assert chosen.columns == ["region", "date", "station_id", "t"] and rows(chosen) == [("a", day(0), 15.0, 1.0)]
+    with pytest.raises(ValueError, match="note"):
+        agg.numeric_mean_by(df, ["region", "date"], ["t", "note"])
 
 
 def test_entities_count_once_per_month(spark):
