@@ -26,6 +26,7 @@ BLOCK_BYTES = 4 << 20  # text of benchmark items that is sent to the workers at
 PIECE_CHARS = 1 << 16  # longer items are cut into overlapping pieces before they are dealt to blocks
 _SLICE = 1 << 20
 _FILTER_BITS = 22
+_SLOTS = (1 << 20) - 1
 _ALIGNED = 2048  # candidate regions aligned together
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -95,8 +96,9 @@ class SegmentIndex:
         self.first = np.append(first, len(found))
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        needs = self.lengths - GRAM + 1 - self.edits * GRAM
-        self.least = int(needs.min()) if len(needs) else 0  # hits that any segment needs
+        self.needs = self.lengths - GRAM + 1 - self.edits * GRAM  # hits, by the lemma
+        # hits that a segment with the gram needs at least: short items don't lower it for the grams of others
+        self.gram_needs = np.minimum.reduceat(self.needs[self.owner], first) if len(first) else first
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -111,10 +113,10 @@ class SegmentIndex:
         row = np.searchsorted(rows, spots, side="right") - 1
         inside = spots + GRAM <= rows[row + 1]
         spots, at, row = spots[inside], at[inside], row[inside]
-        # the hits of a band lie within a segment and the edits of it; fewer hits than any needs are dropped at once
+        # the hits of a band lie within a segment and the edits of it; a gram with fewer around than it needs is dropped
         reach = SEGMENT + 2 * int(self.edits.max(initial=0)) + 2
-        after = np.searchsorted(spots, spots + reach) - np.searchsorted(spots, spots - reach)
-        dense = after >= self.least
+        near = np.searchsorted(spots, spots + reach) - np.searchsorted(spots, spots - reach)
+        dense = near >= self.gram_needs[at]
         spots, at, row = spots[dense], at[dense], row[dense]
         n = self.first[at + 1] - self.first[at]
         posting = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) \
@@ -126,16 +128,21 @@ class SegmentIndex:
             return np.zeros((0, 3), np.int64)
         wide = int(band.max()) + 2  # one number per (row, segment, band), as these sort faster
         packed = (row * len(self.lengths) + segment) * wide + band + 1
+        # a count per slot, which several bands may share, rules most hits out before the sort
+        slot = packed & _SLOTS
+        held = np.bincount(slot, minlength=_SLOTS + 1).astype(np.int32)
+        most = held + np.maximum(np.roll(held, 1), np.roll(held, -1))
+        packed = packed[most[slot] >= self.needs[segment]]
         packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
-        few = counts < self.least
-        packed, counts = packed[~few], counts[~few]
-        owner, band = np.divmod(packed, wide)
-        keys = np.stack([*np.divmod(owner, len(self.lengths)), band - 1], 1)
-        need = self.lengths[keys[:, 1]] - GRAM + 1 - self.edits[keys[:, 1]] * GRAM
-        return keys[counts >= need]
+        enough = counts >= self.needs[packed // wide % len(self.lengths)]
+        owner, band = np.divmod(packed[enough], wide)
+        return np.stack([*np.divmod(owner, len(self.lengths)), band - 1], 1)
 
     def aligned(self, data: np.ndarray, rows: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per region the least number of edits in its band, and where in ``data`` such an alignment ends."""
+        """Per region the least number of edits in its band, and where in ``data`` such an alignment ends.
+
+        A region that cannot stay within its segment's edits any more is given up and has SEGMENT edits.
+        """
         best, ends = [], []
         for i in range(0, len(regions), _ALIGNED):
             b, e = self._align(data, rows, regions[i : i + _ALIGNED])
@@ -154,7 +161,12 @@ class SegmentIndex:
         costs = np.minimum.accumulate(outside - diagonals, axis=1) + diagonals
         best = np.full(len(regions), SEGMENT)
         ends = np.zeros(len(regions), np.int64)
+        held = np.arange(len(regions))
         for j in range(int(self.lengths[segment].max())):
+            if j % 8 == 7:
+                alive = costs.min(axis=1) <= edits
+                held, costs, begin, end = held[alive], costs[alive], begin[alive], end[alive]
+                low, edits, segment = low[alive], edits[alive], segment[alive]
             place = low[:, None] + j + diagonals
             valid = (place >= begin) & (place < end)
             letter = np.where(valid, data[np.where(valid, place, 0)], 255)
@@ -164,8 +176,8 @@ class SegmentIndex:
             done = np.flatnonzero(self.lengths[segment] == j + 1)
             if len(done):
                 at = costs[done].argmin(axis=1)
-                best[done] = costs[done, at]
-                ends[done] = low[done] + j + 1 + at
+                best[held[done]] = costs[done, at]
+                ends[held[done]] = low[done] + j + 1 + at
         return best, ends
 
     def search(self, texts: pa.Array) -> list[tuple[int, object, int, int, int]]:
