@@ -26,7 +26,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
 PART_TOKENS = 1 << 16  # a longer conversation continues in further rows
-_ENCODED_CHARS = 1 << 16  # a longer segment is encoded in pieces
+_ENCODED_CHARS = 1 << 16  # a longer segment is encoded in pieces, cut where the pattern splits whatever is around
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def escape(text: str) -> str:
@@ -54,8 +55,12 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for at in range(0, len(text), _ENCODED_CHARS):
-            out += self.encoding.encode_ordinary(text[at : at + _ENCODED_CHARS])
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + _ENCODED_CHARS)
+            end = cut.start() if cut else len(text)
+            out += self.encoding.encode_ordinary(text[at:end])
+            at = end
         return out
 
     def decode(self, ids: list[int]) -> str:

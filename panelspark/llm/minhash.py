@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.functions.scalars import quoted
 from panelspark.llm.graph import components
 from panelspark.llm.textkit import mix64, shingles, slices, text_bytes, word_hashes
 from panelspark.session import materialise
@@ -202,16 +203,16 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of ``docs`` per component of ``near_duplicates``, with all its columns: the one with the least id.
 
     Texts without words are each their own component. Where ids repeat, one of a component's rows with the least id stays;
-    of rows equal in id and text one stays, and without any id one of each text.
+    of rows equal in id and text one stays, and without any id one of each text. Other columns may have any name.
     """
     given = dict(words=5, percent=75, bands=40, rows=4, seed=7) | parameters
     alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("tag")).alias("alone")
     chosen = _components(docs, id_col, text_col, **given).where(_kept()).groupBy("id", "component_id", alone).agg(
         F.min("tag").alias("tag"), F.count("*").alias("n"))
-    chosen = materialise(chosen.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "n"), "kept")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag"))
-    single = docs.join(chosen.where("n = 1").drop("n"), same, "left_semi")
-    several = docs.join(chosen.where("n > 1").drop("n"), same, "left_semi")
+    chosen = materialise(chosen.select("id", "tag", "n"), "kept")
+    same = F.col(f"d.{quoted(id_col)}").eqNullSafe(F.col("c.id")) & (F.xxhash64(f"d.{quoted(text_col)}") == F.col("c.tag"))
+    single = docs.alias("d").join(chosen.where("n = 1").alias("c"), same, "left_semi")
+    several = docs.alias("d").join(chosen.where("n > 1").alias("c"), same, "left_semi")
     return single.union(several.dropDuplicates([id_col, text_col]))
 
 

@@ -171,8 +171,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix_sources`` takes it, with its number ``_copy`` from 1.
 
-    All columns of ``docs`` stay; rows without words are left out.
+    All columns of ``docs`` stay; where one of them has that name, the number's name starts with more underscores. Rows
+    without words are left out.
     """
+    number, taken_names = "_copy", {c.lower() for c in docs.columns}
+    while number in taken_names:
+        number = f"_{number}"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     size = F.size(words(text_or_empty("text"))).cast("long").alias("size")
     sized = materialise(narrow.select(
@@ -183,4 +187,4 @@ def mixed_documents(
     rows = rows.select("_row", source_key("source").alias("key"), size, F.xxhash64(
         F.lit(seed), "id", "source", "text").alias("draw"))
     taken = _applied(rows, plan).where("taken > 0")
-    return taken.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return taken.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(number))

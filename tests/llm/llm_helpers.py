@@ -18,13 +18,14 @@ def changed(text: str, seed: int, n: int) -> str:
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, id long, tag string, size string, key string, "
-    "n_words string, kept string, component_id string, row string, _x string, bad string, score string"
+    "n_words string, kept string, component_id string, row string, _x string, bad string, score string, "
+    "_id string, _tag string, _raw string, _row string, _text string, _copy string, _n string, c string, d string"
 )
 
 
 def documents(spark, rows):
     """Rows (doc_id, text, lang, source) with further columns whose names operators might use themselves."""
-    full = [(d, t, la, s, None if t is None else len(t), *[None] * 11) for d, t, la, s in rows]
+    full = [(d, t, la, s, None if t is None else len(t), *[None] * 20) for d, t, la, s in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

@@ -65,6 +65,15 @@ def test_tokens_and_mask(spark, ranks):
     assert text == row["text"]
 
 
+def test_long_texts_are_encoded_as_a_whole(ranks, monkeypatch):
+    codec = Codec(ranks)
+    texts = ["z" * 300 + " a  b\n\n c's" * 40, " \n" * 200 + "x", prose(4, 500), "don't  " * 90, "a\x1c b" * 50, "é🎈 " * 70]
+    whole = [codec.encoding.encode_ordinary(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(chat, "_ENCODED_CHARS", size)
+        assert [codec.encode(t) for t in texts] == whole
+
+
 def test_escapes():
     for text in ("", "<|", r"<\|", r"<\\|<|", "<", "|", "<||>", r"\<\|", NASTY):
         assert unescape(escape(text)) == text and "<|" not in escape(text)

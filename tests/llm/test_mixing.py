@@ -67,7 +67,8 @@ def test_odd_input(odd, none):
     want = targets(odd_rows())
     got = mix_sources(odd).collect()
     assert {(r["source_size"], round(r["target"], 6)) for r in got} == {(a, round(b, 6)) for a, b in want.values()}
-    assert mixed_documents(odd).columns == odd.columns + ["_copy"]
+    assert mixed_documents(odd).columns == odd.columns + ["__copy"]  # the table has a _copy of its own
+    assert mixed_documents(odd.drop("_copy")).columns == odd.drop("_copy").columns + ["_copy"]
 
 
 def best_sum(lengths, counts, budget):
