@@ -1,8 +1,8 @@
 """Augmented Dickey-Fuller test of daily series, with a constant and the lag order chosen by AIC.
 
-The regression of the difference on the level, past differences and a constant needs only cross-product
-moments. They are summed by Spark per number of past differences available, so that every lag order finds
-the moments of its own sample; one small solve per series follows.
+The regression of the difference on the level, past differences and a constant needs only a triangular factor of
+its rows. Spark computes one per number of past differences available, so that every lag order finds the
+factor of its own sample; all lag orders are then read off one factor per series.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.moments import as_matrix, moment_rows
+from panelspark.operators.factors import as_factor, factor_rows, reduced
 from panelspark.operators.windows import checked_days, series
 from panelspark.session import spread
 
@@ -41,23 +41,25 @@ def longest_lag(n: int) -> int:
     return max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
 
 
-def _regress(m: np.ndarray, lags: int) -> tuple[float, float, float]:
-    """Log-likelihood, t statistic of the level, and number of rows. Columns: 1, change, level, past changes.
+def _regress(r: np.ndarray, n: int, lags: int) -> tuple[float, float, int]:
+    """Log-likelihood, t statistic of the level, and number of rows. Columns: 1, level, past changes, change.
 
-    Fails with LinAlgError or ValueError where the rows do not determine the fit.
+    A factor holds the fits of all lag orders: each is its leading block, and what is left of the change below that block
+    is the residual. Fails with ValueError where the rows do not determine the fit.
     """
-    at = [0, 2, *range(3, 3 + lags)]
-    gram, cross, n = m[np.ix_(at, at)], m[at, 1], m[0, 0]
-    if n <= len(at):
+    k = 2 + lags
+    if n <= k or len(r) < k:
         raise ValueError("too few rows")
-    coef = np.linalg.solve(gram, cross)
-    rss = m[1, 1] - cross @ coef
-    if rss <= 1e-12 * m[1, 1]:
+    block = r[:k, :k]
+    if (np.abs(block.diagonal()) <= 1e-11 * np.linalg.norm(block, axis=0)).any():
+        raise ValueError("dependent columns")
+    inverse = np.linalg.inv(block)
+    coef = inverse @ r[:k, -1]
+    rss = np.square(r[k:, -1]).sum()
+    if rss <= 1e-12 * np.square(r[:, -1]).sum():
         raise ValueError("nothing is left to explain")
-    variance = rss / (n - len(at))
-    t = coef[1] / math.sqrt(variance * np.linalg.inv(gram)[1, 1])
-    likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
-    return likelihood, t, n
+    t = coef[1] / math.sqrt(rss / (n - k) * np.square(inverse[1]).sum())
+    return -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1), t, n
 
 
 def adf_test(daily: DataFrame, key: str, date: str, value: str, max_lag: int | None = None) -> DataFrame:
@@ -72,31 +74,32 @@ def adf_test(daily: DataFrame, key: str, date: str, value: str, max_lag: int | N
         max_lag = longest_lag(longest)
     w = series(key, date)
     level = F.lag(value).over(w)
-    # A constant shift of the level leaves the statistic as it is and keeps the moments well conditioned.
-    centre = present.groupBy(key).agg(F.avg(value).alias("_centre"))
-    moved = checked_days(present.join(centre, key), key, date).withColumn(value, F.col(value) - F.col("_centre"))
-    steps = moved.withColumns({"level": level, "change": F.col(value) - level}).where("level is not null")
+    steps = checked_days(present, key, date).withColumns({"level": level, "change": F.col(value) - level}).where("level is not null")
     pasts = {f"past{k}": F.coalesce(F.lag("change", k).over(w), F.lit(0.0)) for k in range(1, max_lag + 1)}
     rows = steps.withColumns({"_has": F.least(F.row_number().over(w) - 1, F.lit(max_lag)), **pasts})
-    sums = moment_rows(rows, [key, "_has"], ["change", "level", *pasts])
+    factors = factor_rows(rows, [key, "_has"], ["level", *pasts, "change"])
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
-        by_has = {has: as_matrix(p) for has, p in part.groupby("_has")}
-        n = sum(m[0, 0] for m in by_has.values()) + 1
-        top = min(max_lag, longest_lag(int(n)))
-        sample = {lags: sum((m for has, m in by_has.items() if has >= lags), np.zeros((max_lag + 3,) * 2))
-                  for lags in range(top + 1)}
+        n = int(part["n"].sum()) + 1
+        top = min(max_lag, longest_lag(n))
+
+        def sample(lags: int) -> tuple[np.ndarray, int]:
+            inside = part[part["_has"] >= lags]
+            blocks = [np.zeros((0, max_lag + 3)), *[as_factor(r, max_lag + 3) for r in inside["r"]]]
+            return reduced(np.vstack(blocks)), int(inside["n"].sum())
+
         try:
-            scores = {lags: -2 * _regress(sample[top], lags)[0] + 2 * (lags + 2) for lags in range(top + 1)}
+            common = sample(top)
+            scores = {lags: -2 * _regress(*common, lags)[0] + 2 * (lags + 2) for lags in range(top + 1)}
             best = min(scores, key=lambda lags: (scores[lags], lags))
-            _, t, rows_used = _regress(sample[best], best)
-            found = [t, mackinnon_p(t), best, int(rows_used)]
-        except (np.linalg.LinAlgError, ValueError):
-            found = [None, None, None, int(n) - 1]
+            _, t, rows_used = _regress(*sample(best), best)
+            found = [t, mackinnon_p(t), best, rows_used]
+        except ValueError:
+            found = [None, None, None, n - 1]
         return pd.DataFrame([[part[key].iloc[0], *found]], columns=[key, *RESULT], dtype=object)
 
     key_type = daily.schema[key].dataType.simpleString()
-    tested = spread(sums, key).groupBy(key).applyInPandas(  # (max_lag + 1) x (max_lag + 3) rows of moments per series
+    tested = spread(factors, key).groupBy(key).applyInPandas(  # max_lag + 1 factors per series
         test, f"`{key}` {key_type}, adf_statistic double, p_value double, used_lag int, n_obs long"
     )
     every = daily.select(F.col(key).alias("_key")).distinct()  # a series of one row has no moments

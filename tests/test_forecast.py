@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panel_helpers import day, rows
 from panelspark.operators import forecast, lasso, stationarity
+from panelspark.operators.factors import as_factor, factor_rows
 from panelspark.operators.moments import moment_rows
 
 
@@ -68,6 +69,44 @@ def test_moments(spark):
         np.testing.assert_allclose([got[g][i] for i in range(4)], z.T @ z, atol=1e-9)
 
 
+def test_factors(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(700, 3))
+    groups = np.where(rng.random(700) < 0.4, 0, rng.integers(1, 200, 700))
+    df = spark.createDataFrame([(int(g), *map(float, r)) for g, r in zip(groups, x)] + [(None, 1.0, 1.0, 1.0)],
+                               "g long, a double, b double, c double")
+    got = {r["g"]: r for r in factor_rows(df.repartition(7), ["g"], ["a", "b", "c"]).collect()}
+    assert sorted(got) == sorted(set(groups.tolist()))
+    for g in np.unique(groups):
+        z = np.c_[np.ones((groups == g).sum()), x[groups == g]]
+        factor = as_factor(got[g]["r"], 4)
+        assert got[g]["n"] == len(z) and len(factor) == min(4, len(z))
+        np.testing.assert_allclose(factor.T @ factor, z.T @ z, atol=1e-9)
+
+
+def test_fits_far_from_zero_and_nearly_dependent(spark):
+    """Sums of products lose these: their digits end at 1e18 * 1e-16."""
+    rng = np.random.default_rng(7)
+    n = 200
+    u, v = rng.normal(size=(2, n))
+    near = u + 1e-5 * v
+    y = 2 * u + v
+    z = np.c_[np.ones(n), u, near, y] + [0, 1e7, 1e7, 1e7]
+    df = spark.createDataFrame([("g", *map(float, r[1:])) for r in z], "g string, a double, b double, y double")
+    factor = as_factor(factor_rows(df.repartition(5), ["g"], ["a", "b", "y"]).first()["r"], 4)
+    coef = np.linalg.solve(factor[1:3, 1:3], factor[1:3, 3])
+    np.testing.assert_allclose(coef, [2 - 1e5, 1e5], rtol=1e-2)
+    squares = z.T @ z
+    centred = squares[1:, 1:] - np.outer(squares[0, 1:], squares[0, 1:]) / n
+    lost = np.linalg.lstsq(centred[:2, :2], centred[:2, 2])[0]
+    assert np.abs(lost / [2 - 1e5, 1e5] - 1).max() > 0.1
+    data = [("r", day(i), 1e9 + float(u[i]), float(v[i]), 3.0 * float(u[i])) for i in range(n)]
+    models, _ = lasso.fit_lasso_by(spark.createDataFrame(data, "e string, d date, a double, b double, y double"), "e", "d", ["a", "b"], "y")
+    model, train = models.first(), u[:160]
+    assert model["spread"][0] == pytest.approx(train.std(), rel=1e-5)
+    assert model["coef"][0] == pytest.approx(3 * train.std(), rel=1e-2) and abs(model["coef"][1]) < 1e-2
+
+
 def direct_lasso(x, y, penalty, passes=3000):
     coef = np.zeros(x.shape[1])
     for _ in range(passes):
@@ -125,7 +164,7 @@ def test_solve_finds_the_one_true_feature():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(53, 2))
     z = np.c_[np.ones(53), x, x @ [1.0, 0.0]]
-    penalty, intercept, coef, _, _, converged = lasso.solve([p.T @ p for p in np.array_split(z, 5)])
+    penalty, intercept, coef, _, _, converged = lasso.solve(np.array_split(z, 5), [11, 11, 11, 10, 10])
     assert coef[0] == pytest.approx(x[:, 0].std(), rel=1e-2)  # on the standardised scale
     assert abs(coef[1]) < 0.01 and converged
 
@@ -135,7 +174,7 @@ def test_passes_that_run_out_are_told(monkeypatch):
     x = rng.normal(size=(60, 6)) + 3 * rng.normal(size=(60, 1))
     z = np.c_[np.ones(60), x, x.sum(axis=1) + rng.normal(size=60)]
     monkeypatch.setattr(lasso, "MAX_PASSES", 1)
-    assert not lasso.solve([p.T @ p for p in np.array_split(z, 5)])[-1]
+    assert not lasso.solve(np.array_split(z, 5), [12] * 5)[-1]
 
 
 def test_permutation_importance(spark):
