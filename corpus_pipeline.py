@@ -1,4 +1,8 @@
-"""From raw documents to a training mix: rules, near duplicates, benchmark passages, secrets, source weights."""
+"""From raw documents to a training mix: rules, near duplicates, benchmark passages, secrets, source weights.
+
+Every stage reads doc_id, text and source of all rows it is given, hands on all columns, whatever their names, and gives an
+empty table for an empty one. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,44 @@ from panelspark.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and empty texts have no words and so too few: they go. Repeated rows share their verdict.
+    """
     return passing_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the least id.
+
+    Of rows equal in id and text one stays, and without an id one of each text. Null and empty texts are groups of their
+    own; a null id comes last in its group.
+    """
     return unique_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go. Null and empty texts stay; equal rows share their fate."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, and n_chars is the new length; every document stays."""
+    """Secrets are replaced by a mark, and n_chars, if there is such a column, is the new length; every document stays.
+
+    Of a null text n_chars stays as it is. Repeated rows are replaced alike.
+    """
     clean = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; ``_copy`` numbers its rows from 1."""
+    """Each document as often as the mix of sources takes it; ``_copy`` numbers its rows from 1.
+
+    A null source is a source of its own. Null and empty texts go. Equal rows share their fate. A column named ``_copy``
+    stays, and the number is ``__copy`` then.
+    """
     return mixed_documents(docs)
 
 
