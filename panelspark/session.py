@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``, or a folder of the warehouse if that is unset."""
+    """Folder that every executor can reach: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of the warehouse, unless the session has executors elsewhere and the warehouse is local.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        if spark.conf.get("spark.sql.warehouse.dir").startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
