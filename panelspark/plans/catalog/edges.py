@@ -325,3 +325,40 @@ def adf_no_lags(spark, sf_dir):
         "value", F.when(F.col("nation_id") % 7 == 0, 5.0).otherwise(F.col("value")))
     out = adf_test(series, "nation_id", "date", "value", max_lag=0)
     return rounded(out.drop("p_value"), "adf_statistic", digits=5)
+
+
+def _without(column: str, *others: str) -> str:
+    """SQL for the other columns less their projections on ``column``, per lag order and nation."""
+    return ", ".join(
+        f"{o} - {column} * COALESCE(SUM({o} * {column}) OVER g / NULLIF(SUM({column} * {column}) OVER g, 0), 0) AS {o}"
+        for o in others)
+
+
+# The lag order by orthogonalising level, first and second past change in turn; the statistic with the level last.
+@query("adf_short_lags", f"""
+WITH series AS (
+  SELECT o_custkey % 25 AS nation_id, CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+s AS (SELECT nation_id, date, value - LAG(value) OVER w AS c, LAG(value) OVER w AS l FROM series
+      WINDOW w AS (PARTITION BY nation_id ORDER BY date)),
+p AS (SELECT nation_id, l, c, LAG(c, 1) OVER w AS a, LAG(c, 2) OVER w AS b, ROW_NUMBER() OVER w - 1 AS has
+      FROM s WHERE l IS NOT NULL WINDOW w AS (PARTITION BY nation_id ORDER BY date)),
+f AS (SELECT k, nation_id, l, c, CASE WHEN k > 0 THEN a ELSE 0 END AS a, CASE WHEN k > 1 THEN b ELSE 0 END AS b
+      FROM p JOIN (VALUES (0), (1), (2)) v(k) ON has >= k),
+g0 AS (SELECT k, nation_id, l - AVG(l) OVER g AS l, c - AVG(c) OVER g AS c, a - AVG(a) OVER g AS a, b - AVG(b) OVER g AS b
+       FROM f WINDOW g AS (PARTITION BY nation_id, k)),
+e1 AS (SELECT k, nation_id, {_without("l", "a", "b", "c")} FROM g0 WHERE k = 2 WINDOW g AS (PARTITION BY nation_id, k)),
+e2 AS (SELECT k, nation_id, c AS c0, a, {_without("a", "b", "c")} FROM e1 WINDOW g AS (PARTITION BY nation_id, k)),
+e3 AS (SELECT nation_id, c0, c AS c1, {_without("b", "c")} FROM e2 WINDOW g AS (PARTITION BY nation_id, k)),
+aic AS (SELECT nation_id, COUNT(*) * ln(SUM(c0 * c0)) AS s0, COUNT(*) * ln(SUM(c1 * c1)) + 2 AS s1,
+        COUNT(*) * ln(SUM(c * c)) + 4 AS s2 FROM e3 GROUP BY 1),
+best AS (SELECT nation_id, CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END AS used_lag FROM aic),
+t1 AS (SELECT k, nation_id, {_without("a", "b", "l", "c")} FROM g0 WINDOW g AS (PARTITION BY nation_id, k)),
+t2 AS (SELECT k, nation_id, {_without("b", "l", "c")} FROM t1 WINDOW g AS (PARTITION BY nation_id, k)),
+t3 AS (SELECT k, nation_id, SUM(c * l) AS cl, SUM(l * l) AS ll, SUM(c * c) AS cc, COUNT(*) AS n FROM t2 GROUP BY 1, 2)
+SELECT nation_id, ROUND(cl / ll / sqrt((cc - cl * cl / ll) / (n - 2 - k) / ll), 5) AS adf_statistic, used_lag, n AS n_obs
+FROM t3 JOIN best USING (nation_id) WHERE k = used_lag
+""")
+def adf_short_lags(spark, sf_dir):
+    """The choice among no, one and two past changes, whose fits SQL can state in closed form."""
+    out = adf_test(nation_series(spark, sf_dir), "nation_id", "date", "value", max_lag=2)
+    return rounded(out.drop("p_value"), "adf_statistic", digits=5)
