@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import numeric_columns
-from panelspark.functions.scalars import pearson, quoted, valid_count
+from panelspark.functions.scalars import null_safe, pearson, quoted, valid_count
 from panelspark.operators.ordering import exact_quantiles
+from panelspark.operators.quantiles import grouped_quantiles
 from panelspark.operators.windows import checked_days, series
 
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -82,6 +83,13 @@ def distribution_summary(df: DataFrame, value: str) -> DataFrame:
     return one_row.withColumns({name: F.lit(q).cast("double") for name, q in zip(QUANTILES, quantiles)})
 
 
+def distribution_summary_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``distribution_summary`` of every group, of any size; a group without values has nulls."""
+    whole = df.groupBy(*keys).agg(*_summary(df, value))
+    found = grouped_quantiles(df, keys, value, QUANTILES).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return whole.join(found, null_safe(whole, keys, found), "left").select(*[whole[c] for c in whole.columns], *QUANTILES)
+
+
 def series_summary(daily: DataFrame, value: str) -> DataFrame:
     """``distribution_summary`` of a daily series."""
     return distribution_summary(daily, value)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.aggregates import HOURS, mean_series
 from panelspark.operators.profile import (
-    acf, all_missing_by_date, completeness, corr_with_target, describe_adjusted, distribution_summary, histogram,
-    lag_autocorr, mean_by_group, missing_rate_by, missing_rates, missing_rates_by_entity, overall_missing_rate,
+    acf, all_missing_by_date, completeness, corr_with_target, describe_adjusted, distribution_summary,
+    distribution_summary_by, histogram, lag_autocorr, mean_by_group, missing_rate_by, missing_rates, missing_rates_by_entity, overall_missing_rate,
     row_missing_histogram, series_summary, variance_split,
 )
 from panelspark.operators.stationarity import adf_test
@@ -16,6 +16,7 @@ from panelspark.plans.catalog.panel import WIDE, wide
 from panelspark.plans.catalog.registry import (
     DAILY, DAILY_TYPES, EVENT_TYPES, daily, daily_types, query, rounded, table,
 )
+from panelspark.session import materialise
 from panelspark.sources.schema import schema_report
 
 TYPE_NULLS = " + ".join(f'("{t}" IS NULL)::INT' for t in EVENT_TYPES)
@@ -89,6 +90,19 @@ def distribution_summary_query(spark, sf_dir):
     return rounded(out, "mean", "std", "p50", "p90", "p95", "p99", digits=6)
 
 
+@query("distribution_summary_by", """
+SELECT o_custkey % 25 AS nation_id, COUNT(*) AS n, ROUND(AVG(o_totalprice), 6) AS mean, ROUND(STDDEV_SAMP(o_totalprice), 6) AS std,
+       MIN(o_totalprice) AS min, ROUND(quantile_cont(o_totalprice, 0.5), 6) AS p50,
+       ROUND(quantile_cont(o_totalprice, 0.9), 6) AS p90, ROUND(quantile_cont(o_totalprice, 0.95), 6) AS p95,
+       ROUND(quantile_cont(o_totalprice, 0.99), 6) AS p99, MAX(o_totalprice) AS max
+FROM orders GROUP BY 1
+""")
+def distribution_summary_by_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("nation_id"), "o_totalprice")
+    out = distribution_summary_by(materialise(rows, "prices"), ["nation_id"], "o_totalprice")
+    return rounded(out, "mean", "std", "p50", "p90", "p95", "p99", digits=6)
+
+
 @query("moments_adjusted", """
 SELECT COUNT(value) AS n, ROUND(AVG(value), 6) AS mean, ROUND(VAR_SAMP(value), 5) AS variance,
        ROUND(SKEWNESS(value), 6) AS skewness, ROUND(KURTOSIS(value), 6) AS kurtosis FROM events
