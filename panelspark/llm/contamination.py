@@ -118,21 +118,22 @@ class SegmentIndex:
         near = np.searchsorted(spots, spots + reach) - np.searchsorted(spots, spots - reach)
         dense = near >= self.gram_needs[at]
         spots, at, row = spots[dense], at[dense], row[dense]
-        n = self.first[at + 1] - self.first[at]
-        posting = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) \
-            if len(n) else np.zeros(0, np.int64)
-        segment, row = self.owner[posting], np.repeat(row, n)
-        step = self.edits[segment] + 1
-        band = (np.repeat(spots, n) - rows[row] - self.place[posting] + SEGMENT) // step
-        if len(band) == 0:
+        if len(spots) == 0:
             return np.zeros((0, 3), np.int64)
+        n = self.first[at + 1] - self.first[at]
+        posting = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        segment = self.owner[posting]
+        alike = self.lengths.min() == self.lengths.max()  # one step and one need then, not one per hit
+        step = int(self.edits[0]) + 1 if alike else self.edits[segment] + 1
+        band = (np.repeat(spots - rows[row] + SEGMENT, n) - self.place[posting]) // step
+        row = np.repeat(row, n)
         wide = int(band.max()) + 2  # one number per (row, segment, band), as these sort faster
         packed = (row * len(self.lengths) + segment) * wide + band + 1
         # a count per slot, which several bands may share, rules most hits out before the sort
         slot = packed & _SLOTS
         held = np.bincount(slot, minlength=_SLOTS + 1).astype(np.int32)
         most = held + np.maximum(np.roll(held, 1), np.roll(held, -1))
-        packed = packed[most[slot] >= self.needs[segment]]
+        packed = packed[most[slot] >= (self.needs[0] if alike else self.needs[segment])]
         packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
         enough = counts >= self.needs[packed // wide % len(self.lengths)]
         owner, band = np.divmod(packed[enough], wide)
