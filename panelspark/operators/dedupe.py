@@ -14,17 +14,76 @@ from panelspark.functions.scalars import null_safe, quoted, valid_count
 from panelspark.session import materialise
 
 
-def drop_full_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+_WORDS = 1 << 20  # rows of the table of 64-bit words that marks repeated fingerprints, at most 16 MiB
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows, and rows beyond the first of each set of equal rows."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    return copies.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_extra"),
-    )
+def drop_full_duplicates(df: DataFrame, fingerprints: bool = False, bits: int = 128) -> DataFrame:
+    """One of each set of equal rows.
+
+    With ``fingerprints``, for wide rows: only fingerprints of all rows are shuffled. Rows whose fingerprint occurs
+    once stay where they are, the others are compared whole, so that a collision costs work and no row. ``df`` is
+    read three times then and must give the same rows each time; the first pass runs at once. ``bits`` is the length
+    of a fingerprint.
+    """
+    if not fingerprints or not df.columns:
+        return df.dropDuplicates()
+    once, repeated = _by_fingerprint(df, _marked_words(_fingerprint_counts(df, bits)), bits)
+    return once.unionAll(repeated.dropDuplicates())
+
+
+def duplicate_count(df: DataFrame, fingerprints: bool = False, bits: int = 128) -> DataFrame:
+    """Rows, and rows beyond the first of each set of equal rows; ``fingerprints`` as in ``drop_full_duplicates``,
+    with two readings of ``df``."""
+    total, extra = F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
+    if not fingerprints or not df.columns:
+        return _copies(df).agg(total.alias("n_rows"), extra.alias("n_extra"))
+    counts = materialise(_fingerprint_counts(df, bits), "fingerprints")
+    _, repeated = _by_fingerprint(df, _marked_words(counts), bits)
+    # fingerprints that share a bit with a repeated one are compared whole as well and add no copies
+    zero = F.lit(0).cast("long")
+    parts = counts.agg(total.alias("n_rows"), zero.alias("n_extra")).unionAll(_copies(repeated).agg(zero, extra))
+    return parts.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_extra").alias("n_extra"))
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies"))
+
+
+def _fingerprint(df: DataFrame, bits: int) -> tuple[Column, Column]:
+    """Two hashes of a row, ``bits`` long together. Spark's hash passes over nulls, so these are hashed apart."""
+    cells = [F.col(quoted(c)) for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    parts = [F.xxhash64(F.lit(i), nulls, *cells) for i in range(2)]
+    lengths = min(bits, 64), max(bits - 64, 0)
+    short = [p if n == 64 else p.bitwiseAND((1 << n) - 1) for p, n in zip(parts, lengths)]
+    return short[0], short[1]
+
+
+def _fingerprint_counts(df: DataFrame, bits: int) -> DataFrame:
+    first, second = _fingerprint(df, bits)
+    return df.select(first.alias("first"), second.alias("second")).groupBy("first", "second").agg(F.count("*").alias("copies"))
+
+
+def _place(first: Column, second: Column) -> tuple[Column, Column]:
+    """Word and bit that mark a fingerprint."""
+    return first.bitwiseAND(_WORDS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), second.bitwiseAND(63).cast("int"))
+
+
+def _marked_words(counts: DataFrame) -> DataFrame:
+    """The bits of repeated fingerprints, by word; more of them than bits only let more rows be compared whole."""
+    word, bit = _place(F.col("first"), F.col("second"))
+    return materialise(counts.where("copies > 1").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks")), "words")
+
+
+def _by_fingerprint(df: DataFrame, words: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose fingerprint occurs once, and all others with few of the former, both without a shuffle of rows."""
+    taken = {c.lower() for c in df.columns}
+    fresh = [next(n for i in range(len(taken) + 1) if (n := f"_{name}{i}") not in taken) for name in ("word", "marks")]
+    word, bit = _place(*_fingerprint(df, bits))
+    found = df.withColumn(fresh[0], word).join(F.broadcast(words.toDF(*fresh)), fresh[0], "left")
+    marked = F.coalesce(F.col(fresh[1]).bitwiseAND(bit), F.lit(0)) != 0
+    rows = [quoted(c) for c in df.columns]
+    return found.where(~marked).select(*rows), found.where(marked).select(*rows)
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -193,6 +193,21 @@ def duplicate_count_query(spark, sf_dir):
     return duplicate_count(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+@query("drop_wide_duplicates", "SELECT md5(text) AS text_md5, source, lang, n_chars FROM (SELECT DISTINCT text, source, lang, n_chars FROM documents)")
+def drop_wide_duplicates_query(spark, sf_dir):
+    """Every column of documents but their number."""
+    rows = drop_full_duplicates(table(spark, sf_dir, "documents").drop("doc_id"), fingerprints=True)
+    return rows.select(F.md5("text").alias("text_md5"), "source", "lang", "n_chars")
+
+
+@query("wide_duplicate_count", """
+SELECT COUNT(*) AS n_rows, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT text, source, lang, n_chars FROM documents)) AS n_extra
+FROM documents
+""")
+def wide_duplicate_count_query(spark, sf_dir):
+    return duplicate_count(table(spark, sf_dir, "documents").drop("doc_id"), fingerprints=True)
+
+
 @query("first_per_key", """
 SELECT l_suppkey, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_quantity FROM lineitem
 QUALIFY ROW_NUMBER() OVER (

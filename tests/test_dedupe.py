@@ -3,9 +3,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panel_helpers import day, rows
 from panelspark.operators import dedupe
+from panelspark.session import materialise
 
 SCHEMA = "k long, d date, name string, a double, b double, pos int"
 
@@ -16,6 +18,55 @@ def test_counts(spark):
     assert dedupe.drop_full_duplicates(df).count() == 2
 
 
+ODD = [
+    (1, None, "x", 0.0), (None, 1, "x", 0.0), (1, None, "x", -0.0), (1, None, None, 0.0), (None, None, None, None),
+    (None, None, None, None), (2, 3, "", float("nan")), (2, 3, "", float("nan")), (2, 3, None, float("nan")), (4, 4, "q", 1.0),
+]
+
+
+@pytest.mark.parametrize("bits", [128, 70, 64, 5, 1, 0])
+def test_duplicates_by_fingerprint(spark, bits):
+    df = spark.createDataFrame(ODD * 2 + [(i % 40, i, str(i % 3), None) for i in range(60)], "_word0 int, `a.b` int, Marks string, v double")
+    df = df.repartition(5).cache()
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    plain = dedupe.drop_full_duplicates(df).select(F.array(*text).alias("r")).collect()
+    found = dedupe.drop_full_duplicates(df, fingerprints=True, bits=bits)
+    assert found.columns == df.columns
+    key = lambda r: [(c is None, "0.0" if c == "-0.0" else c or "") for c in r.r]
+    assert sorted(map(key, found.select(F.array(*text).alias("r")).collect())) == sorted(map(key, plain))
+    assert rows(dedupe.duplicate_count(df, fingerprints=True, bits=bits)) == rows(dedupe.duplicate_count(df)) == [(80, 13)]
+
+
+def test_duplicates_by_fingerprint_in_empty_tables(spark):
+    df = spark.createDataFrame([], "a int, b string")
+    assert dedupe.drop_full_duplicates(df, fingerprints=True).count() == 0
+    assert rows(dedupe.duplicate_count(df, fingerprints=True)) == [(0, 0)]
+
+
+def _shuffled(df):
+    """Bytes of all exchanges of rows, from the metrics of the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("dataSize").value()
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        children = node.children()
+        todo += inner + [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_wide_rows_stay_in_place(spark):
+    wide = F.concat_ws("", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 256) for i in range(20)])
+    df = spark.range(4000, numPartitions=4).select((F.col("id") % 3960).alias("id")).select("id", wide.alias("text"))
+    df = materialise(df, "wide")
+    plain, narrow = _shuffled(dedupe.drop_full_duplicates(df)), _shuffled(dedupe.drop_full_duplicates(df, fingerprints=True))
+    counts = _shuffled(dedupe._fingerprint_counts(df, 128))
+    assert plain > 10 * (narrow + counts) > 0
+
+
 def test_first_per_key(spark):
     df = spark.createDataFrame([(1, "late", 9), (1, "early", 2), (2, None, 5), (None, "x", 1)], "k int, v string, pos int")
     assert rows(dedupe.first_per_key(df, ["k"], ["pos"]), "k") == [(None, "x", 1), (1, "early", 2), (2, None, 5)]
