@@ -89,6 +89,22 @@ def folded(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(items: np.ndarray) -> bytes:
+    """The set's size and a sketch of 2 to 4 bits per token: near the limit it still tells how far two sets are apart."""
+    size = 1 << max(9, (2 * len(items)).bit_length())
+    odd = np.bincount(((items >> np.uint64(13)) % np.uint64(size)).astype(np.intp), minlength=size) & 1
+    return np.int64(len(items)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart_at_least(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the tokens in which two sets differ, from long sketches, the longer one folded to the other's length."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_name(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
@@ -150,14 +166,19 @@ def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, items) of each row of (node, text)."""
+    """(node, items, sketch) of each row of (node, text), with the long sketch."""
 
     def run(batches):
         for batch, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+                [batch.column("node"), *_binaries(sets)], ["node", "items", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, items binary, sketch binary")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, items binary")
+
+def _binaries(sets: Iterator[np.ndarray]) -> list[pa.Array]:
+    both = [(s.tobytes(), long_sketch(s)) for s in sets]
+    return [pa.array([v[i] for v in both], pa.binary()) for i in (0, 1)]
 
 
 def _sizes_fit(percent: int, a: Column, b: Column) -> Column:
@@ -180,26 +201,38 @@ def may_link(percent: int) -> Column:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their whole sets.
 
-    A set that is the second of many pairs is sent once for every ``_SLICE`` of them, so that its pairs are many tasks.
+    Long sketches rule pairs out first, which are sent at a small part of the sets' size. A set that is the second of many pairs
+    is sent once for every ``_SLICE`` of them, so that its pairs are many tasks.
     """
     often = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / _SLICE).alias("slices")), "often")
     many = often.where("slices > 1")
     cut = materialise(pairs.join(many, "b", "left").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1).cast("long"))).alias("slice")), "cut")
-    seconds = sets.toDF("b", "y").join(often, "b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "y")
-    near = cut.join(sets.toDF("a", "x"), "a").join(seconds, ["b", "slice"]).select("a", "b", "x", "y")
 
-    def run(batches):
+    def with_both(near: DataFrame, column: str) -> DataFrame:
+        of_a, of_b = (sets.select(F.col("node").alias(c), F.col(column).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        wanted = near.groupBy("b", "slice").count()
+        seconds = of_b.join(wanted, "b").select("b", "slice", "y")
+        return near.join(of_a, "a").join(seconds, ["b", "slice"]).select("a", "b", "slice", "x", "y")
+
+    def run(batches, test):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            kept = [test(*(v.as_buffer() for v in pair)) for pair in zip(batch.column("x"), batch.column("y"))]
+            columns = [batch.column(c) for c in ("a", "b", "slice")]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "slice"]).filter(pa.array(kept, pa.bool_()))
+
+    def possibly(x, y):
+        total = sum(int(np.frombuffer(v, np.int64, 1)[0]) for v in (x, y))
+        return (100 + percent) * apart_at_least(*(np.frombuffer(v, np.uint8, offset=8) for v in (x, y))) <= (100 - percent) * total
+
+    def surely(x, y):
+        x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return near.mapInArrow(run, "a long, b long")
+    schema = "a long, b long, slice long"
+    near = materialise(with_both(cut, "sketch").mapInArrow(lambda batches: run(batches, possibly), schema), "possible")
+    return with_both(near, "items").mapInArrow(lambda batches: run(batches, surely), schema).select("a", "b")
 
 
 def jaccard_components(
@@ -237,7 +270,7 @@ def jaccard_components(
              .alias(f"s{i}") for i in range(_SHORT)]
     sketches = materialise(sketches.select(
         "node", "size", *short, F.when(F.size("sketch") == _FOLD, F.col("sketch")).alias("sketch")), "folded")
-    stars = stars.where("node <> leader")
+    members, stars = stars, stars.where("node <> leader")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -255,11 +288,9 @@ def jaccard_components(
 
     def still_open(roots: DataFrame) -> DataFrame:
         """(key, node, root) of the keys whose nodes are in several components."""
-        named = stars.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        leaders = stars.groupBy("key").agg(F.min("leader").alias("node"))
-        named = named.union(leaders.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node")))
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return named.join(mixed.select("key"), "key")
+        named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return named.withColumns({"low": F.min("root").over(of_key), "high": F.max("root").over(of_key)}).where(
+            "low < high").select("key", "node", "root")
 
     # Each node with the leader it shares most keys with first: that settles most groups with one pair per node.
     near = linkable(stars.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared")), "near")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from llm_helpers import changed, documents, odd_rows, prose
-from panelspark.llm.parity import bands, folded, jaccard_components, part_keys, possible
+from panelspark.llm.parity import apart_at_least, bands, folded, jaccard_components, long_sketch, part_keys, possible
 from panelspark.llm.textkit import mix64
 
 
@@ -97,3 +97,16 @@ def test_wanted_texts_pass_the_bit_table(spark):
     kept = possible(texts, wanted)
     assert kept.columns == ["id", "t1"] and 200 <= kept.count() < 300
     assert wanted.join(kept, "id", "left_anti").count() == 0 == possible(texts, wanted.limit(0)).count()
+
+
+def test_long_sketches_tell_how_far_sets_are_apart():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((4000, 4000, 2500), (4000, 4400, 3800), (9000, 6500, 6400), (3, 900, 2), (70, 70, 70), (1, 1, 0), (30_000, 30_000, 25_000)):
+        items = np.unique(rng.integers(0, 2**64, n + m - both, dtype=np.uint64))
+        rng.shuffle(items)
+        x, y = np.sort(items[:n]), np.sort(items[n - both :])
+        bits = [np.frombuffer(long_sketch(v), np.uint8, offset=8) for v in (x, y)]
+        apart = len(np.setxor1d(x, y))
+        assert apart_at_least(*bits) == apart_at_least(*bits[::-1]) <= apart
+        assert 2 * min(n, m) < max(n, m) or apart_at_least(*bits) >= apart * 0.7  # short sketches saturate at 512 bits
+        assert np.frombuffer(long_sketch(x), np.int64, 1)[0] == len(x)
