@@ -153,16 +153,29 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
-def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of which ``wanted`` may hold the hash t1: all that it holds, and few others while it is not huge.
+def _marked(rows: DataFrame, hash_col: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with whether ``wanted`` may hold their hash: so for all that it holds, and few others while it is not huge.
 
     The bits sent to every task are 2 ** (_FILTER_BITS - 6) words at most, whatever the size of the tables.
     """
-    place = F.col("t1").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int((t1 & {(1 << _FILTER_BITS) - 1}) & 63))")
+    place = F.col(hash_col).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(({hash_col} & {(1 << _FILTER_BITS) - 1}) & 63))")
     bits = wanted.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = texts.withColumns({"word": F.shiftright(place, 6), "bit": bit})
-    return marked.join(F.broadcast(bits), "word").where("bits & bit <> 0").drop("word", "bit", "bits")
+    joined = rows.withColumns({"word": F.shiftright(place, 6), "bit": bit}).join(F.broadcast(bits), "word", "left")
+    return joined.withColumn("marked", F.expr("coalesce(bits & bit <> 0, false)")).drop("word", "bit", "bits")
+
+
+def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of which ``wanted`` may hold the hash t1: all that it holds, and few others."""
+    return _marked(texts, "t1", wanted).where("marked").drop("marked")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of (row, ...) whose row is not in ``gone`` (row). Only those that a table of bits marks are shuffled."""
+    place = F.xxhash64("row")
+    marked = _marked(rows.withColumn("place", place), "place", gone.select(place.alias("place"))).drop("place")
+    left = marked.where("marked").join(gone, "row", "left_anti")
+    return marked.where("not marked").union(left.select(*marked.columns)).drop("marked")
 
 
 def whole_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -245,10 +258,10 @@ def jaccard_components(
     that are similar enough surely share a key, and a pair that shares one is left out only if it is already connected or if
     sizes or sketches rule it out.
 
-    Equal sets are one node. A key's nodes are compared with the least of them first, where they are not yet connected
-    with the one of most company, and where they still are not with each other. An empty or null text is alone. A null id names a component
-    only if all its ids are null (component_id null). Repeated rows share their component; other columns are not read; an
-    empty table gives an empty one.
+    Equal sets are one node, and keys of the same nodes one key. A key's nodes are compared with the least of them first, where
+    they are not yet connected with the one of most company, and where they still are not with each other. An empty or null text
+    is alone. A null id names a component only if all its ids are null (component_id null). Repeated rows share their component;
+    other columns are not read; an empty table gives an empty one.
     """
     found = materialise(sketched(docs, id_col, text_col, words, percent), "sketches")
     copies = found.where("name is not null").groupBy("name", "id", "t1", "t2").agg(
@@ -256,13 +269,17 @@ def jaccard_components(
     nodes = materialise(copies.groupBy("name").agg(
         F.min(F.struct("row", "id", "t1", "t2", "copies")).alias("of"), F.min("id").alias("first_id"), F.sum("copies").alias("n"),
     ).select("name", F.col("of.row").alias("node"), "first_id", "n", F.struct("of.id", "of.t1", "of.t2", "of.copies").alias("of")), "nodes")
-    keys = found.select("row", "keys").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    several = nodes.where("n > 1").select("name", "node")
+    copied = materialise(found.select("name", "row").join(several, "name").where("row <> node").select("row"), "copied")
+    keys = without(found.where("size(keys) > 0").select("row", "keys"), copied)
     keys = keys.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     of_key = W.partitionBy("key")
-    stars = materialise(
-        keys.withColumns({"size": F.count("*").over(of_key), "leader": F.min("node").over(of_key)}).where("size > 1")
-        .select("key", "node", "leader", "size"), "stars")
-    company = stars.groupBy("node").agg(F.sum("size").alias("company"))
+    met = keys.withColumns({"size": F.count("*").over(of_key), "leader": F.min("node").over(of_key)}).where("size > 1")
+    met = met.withColumn("held", F.bit_xor(F.xxhash64("node")).over(of_key))
+    # Keys with the same nodes are one: similar sets share many. Should other keys get the same hash, their nodes meet too.
+    stars = materialise(met.groupBy(F.xxhash64("held", "size").alias("key"), "node").agg(
+        F.min("leader").alias("leader"), F.max("size").alias("size"), F.count("*").alias("keys")), "stars")
+    company = stars.groupBy("node").agg(F.sum(F.expr("size * keys")).alias("company"))
     involved = stars.select("node").distinct()  # holds the leaders too
     sketches = found.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "sketch").join(
         involved, "node", "left_semi")
@@ -293,7 +310,7 @@ def jaccard_components(
             "low < high").select("key", "node", "root")
 
     # Each node with the leader it shares most keys with first: that settles most groups with one pair per node.
-    near = linkable(stars.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared")), "near")
+    near = linkable(stars.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.sum("keys").alias("shared")), "near")
     sets = sets_of(near)
     top = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     links = materialise(confirmed(top, sets, percent), "links")

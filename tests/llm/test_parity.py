@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from llm_helpers import changed, documents, odd_rows, prose
-from panelspark.llm.parity import apart_at_least, bands, folded, jaccard_components, long_sketch, part_keys, possible
+from panelspark.llm import parity
+from panelspark.llm.parity import apart_at_least, bands, folded, jaccard_components, long_sketch, part_keys, possible, without
 from panelspark.llm.textkit import mix64
 
 
@@ -99,6 +100,36 @@ def test_wanted_texts_pass_the_bit_table(spark):
     assert wanted.join(kept, "id", "left_anti").count() == 0 == possible(texts, wanted.limit(0)).count()
 
 
+@pytest.mark.parametrize("bits", [6, 23])
+def test_rows_that_are_gone_are_left_out(spark, monkeypatch, bits):
+    monkeypatch.setattr(parity, "_FILTER_BITS", bits)
+    rows = spark.range(2000).selectExpr("id as row", "array(id, -id) as keys")
+    gone = rows.where("row % 7 = 0").select("row")
+    left = without(rows, gone)
+    assert left.columns == ["row", "keys"] and sorted(r.row for r in left.collect()) == [i for i in range(2000) if i % 7]
+    assert without(rows, gone.limit(0)).count() == 2000
+    assert without(rows, rows.select("row")).count() == 0
+
+
+def test_keys_with_the_same_sets_are_one(spark, monkeypatch):
+    """Copies give keys once, and sets that share many keys meet by one: no row per key is left, yet every link."""
+    written, tables = parity.materialise, {}
+
+    def keep(df, label):
+        tables[label] = written(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(parity, "materialise", keep)
+    texts = [*near(7, 300, 1, .02), *near(8, 300, 1, .02), *near(9, 60, 4, .05)]
+    rows = [(900 - i, t, None, None) for i, t in enumerate([*texts, *texts[:4], *texts[:2]])]
+    assert run(documents(spark, rows)) == brute(rows)
+    stars = tables["stars"].groupBy("key").agg({"node": "collect_set"}).collect()
+    groups = [tuple(sorted(r[1])) for r in stars]
+    assert len(groups) == len(set(groups)) and all(len(g) > 1 for g in groups)
+    assert tables["copied"].count() == 6
+    assert tables["stars"].where("keys > 10").count() >= 4
+
+
 def test_long_sketches_tell_how_far_sets_are_apart():
     rng = np.random.default_rng(4)
     for n, m, both in ((4000, 4000, 2500), (4000, 4400, 3800), (9000, 6500, 6400), (3, 900, 2), (70, 70, 70), (1, 1, 0), (30_000, 30_000, 25_000)):
